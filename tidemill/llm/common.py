@@ -43,7 +43,7 @@ def put_file(uri: str, data: bytes) -> None:
     """Write a file under a temporary name, then move it to ``uri``: a rerun replaces it whole."""
     filesystem, path = pafs.FileSystem.from_uri(uri)
     temporary = f"{path}.{uuid.uuid4().hex}.tmp"
-    with filesystem.open_output_stream(temporary) as out:
+    with filesystem.open_output_stream(temporary, compression=None) as out:
         out.write(data)
     filesystem.move(temporary, path)
 
@@ -55,7 +55,7 @@ def make_dir(uri: str) -> None:
 
 def get_file(uri: str) -> bytes:
     filesystem, path = pafs.FileSystem.from_uri(uri)
-    with filesystem.open_input_stream(path) as source:
+    with filesystem.open_input_stream(path, compression=None) as source:
         return source.read()
 
 

@@ -5,14 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import licenses, sentencepieces, simhash, telephony
+from . import licenses, sentencepieces, simhash, telephony, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.round_trip(table(spark, sf_dir, "pages"))
+    return read.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode_decode(table(spark, sf_dir, "documents"), digests=True)
 
@@ -30,8 +36,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_sentencepiece, op8_telephony, op9_licenses, op10_simhash)}
+    return {f.__name__: f for f in (op1_warc, op7_sentencepiece, op8_telephony, op9_licenses, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_licenses": licenses.scan_sql()}
+    return {"op1_warc": warc.report_sql(), "op9_licenses": licenses.scan_sql()}
