@@ -92,7 +92,7 @@ def train(texts: list[str], labels: list[int], bits: int = 18, grams: tuple[int,
     random = np.random.default_rng(seed)
     vectors = random.uniform(-1 / size, 1 / size, (1 << bits, size)).astype(np.float32)
     layer = np.zeros((2, size), np.float32)
-    bias = np.array([0, 1], np.float32)  # texts too short to tell begin as label 1
+    bias = np.array([0, 1], np.float32)  # fixed: texts too short to tell keep label 1
     bags = []
     for text in texts:
         found, count = np.unique(subwords(code_points(f" {text or ''} "), bits, grams), return_counts=True)
@@ -115,8 +115,7 @@ def train(texts: list[str], labels: list[int], bits: int = 18, grams: tuple[int,
             slope = (p * np.float32(pace * weigh[labels[k]])).astype(np.float32)
             back = slope @ layer
             layer -= np.outer(slope, hidden)
-            bias -= slope * np.float32(0.1)
-            if len(found):
+                if len(found):
                 vectors[found] = rows - (share * np.float32(len(found) ** 0.5))[:, None] * back
     turn = layer[1] - layer[0]
     return Model((vectors @ turn).astype(np.float64), float(bias[1] - bias[0]), bits, grams)
