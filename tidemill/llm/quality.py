@@ -115,7 +115,7 @@ def train(texts: list[str], labels: list[int], bits: int = 18, grams: tuple[int,
             slope = (p * np.float32(pace * weigh[labels[k]])).astype(np.float32)
             back = slope @ layer
             layer -= np.outer(slope, hidden)
-                if len(found):
+            if len(found):
                 vectors[found] = rows - (share * np.float32(len(found) ** 0.5))[:, None] * back
     turn = layer[1] - layer[0]
     return Model((vectors @ turn).astype(np.float64), float(bias[1] - bias[0]), bits, grams)

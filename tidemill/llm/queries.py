@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, quality, sentencepieces, simhash, telephony, warc
+from . import crosspolytope, htmltext, licenses, mixing, quality, sentencepieces, simhash, telephony, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,14 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents, quality.fit(documents, table(spark, sf_dir, "labels")))
 
 
+def op5_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosspolytope.search(table(spark, sf_dir, "embeddings"))
+
+
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode_decode(table(spark, sf_dir, "documents"), digests=True)
 
@@ -45,7 +53,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op3_mixing, op4_quality, op7_sentencepiece, op8_telephony, op9_licenses, op10_simhash)}
+    return {f.__name__: f for f in (op1_warc, op3_mixing, op4_quality, op5_cross_polytope, op6_html, op7_sentencepiece, op8_telephony, op9_licenses, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
