@@ -182,3 +182,12 @@ def copies(rows: DataFrame, shares: DataFrame, group: int, seed: int) -> DataFra
         fan = group // 2  # each group leaves at most two rows
         now = now.where(~settled).withColumn("c", F.floor(F.col("c") / fan).cast("long"))
         groups, level = -(-groups // fan), level + 1
+
+
+def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cycle: int = 3, most: int = 3, group: int = 20_000, seed: int = 7) -> DataFrame:
+    """The rows themselves, each as often as ``mix`` takes it. Of rows that repeat an id and text, each comes as often as one of them."""
+    rows = cut(df.select(F.col(id_col).alias("i"), words(text_col).alias("size"), F.col(source_col).cast("string").alias("source"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h")), "sizes")
+    taken = copies(rows, targets(rows, cycle, most), group, seed).groupBy(F.col("i").alias("__i"), F.col("h").alias("__h")).agg(F.max("copies").alias("__copies")).where("__copies > 0")
+    same = F.col(id_col).eqNullSafe(F.col("__i")) & (F.xxhash64(F.col(id_col), F.col(text_col)) == F.col("__h"))
+    joined = df.join(taken, same).withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns])

@@ -164,3 +164,16 @@ def classify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     rows = df.select(F.col(id_col), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("__text"))
     return rows.mapInArrow(work, f"`{id_col}` {kind}, held_out boolean, score double, predicted int")
+
+
+def keep_good(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows, all their columns as they are, whose whole text the model gives label 1."""
+    sent = df.sparkSession.sparkContext.broadcast(model)
+    place = df.columns.index(text_col)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        for batch in batches:
+            yield batch.filter(pa.array([known.score(t) >= 0.5 for t in batch.column(place).to_pylist()], pa.bool_()))
+
+    return df.mapInArrow(work, df.schema)
