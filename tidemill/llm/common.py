@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -32,6 +33,12 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of plans that nothing refers to any more; it does so as objects are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_dir(uri: str) -> None:
     """Remove a work folder that nothing reads any more."""
     filesystem, path = pafs.FileSystem.from_uri(uri)

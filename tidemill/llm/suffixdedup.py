@@ -8,9 +8,8 @@ common-prefix-aware merges: blocks sort their strings, front-code them and deal
 range merges its runs with a loser tree that carries common prefix lengths.
 
 1. Suffixes from the anchors on (each followed by the bytes before it, as far as strings with this anchor
-   reach). Equal ones settle all strings around an anchor at once. Where all suffixes with a k-mer are equal,
-   nothing else can match.
-2. The strings that stay open: those around anchors whose k-mer has different surroundings.
+   reach). Equal ones settle all strings around an anchor at once.
+2. The strings that stay open: those that end within the prefix their suffix shares with another one.
 """
 
 from __future__ import annotations
@@ -28,22 +27,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import suffixes
-from .common import byte_column, cut, get_file, make_dir, put_file, work_dir
+from .common import byte_column, cut, free_shuffles, get_file, make_dir, put_file, work_dir
 
 NONE = -(1 << 63)
 CHUNK = 1 << 18
 RANDOM = np.random.default_rng(20240101)
 BYTE = RANDOM.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ODD = RANDOM.integers(0, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-SIDE = "block string, part int, least binary, varied binary"
+SIDE = "block string, part int, least binary, reach binary"
 
 
 class Shape:
     """Lengths that follow from the string length: ``span`` k-mers of ``k`` bytes lie in a string."""
 
     def __init__(self, length: int):
-        if length < 12:
-            raise ValueError("strings of at least 12 bytes")
+        if not 12 <= length <= 160:
+            raise ValueError("strings of 12 to 160 bytes")
         self.length = length
         self.span = 1 << ((2 * length // 3).bit_length() - 1)
         self.k = length - self.span + 1
@@ -84,53 +83,47 @@ class Block:
     def documents(self, places: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.offsets, places, side="right") - 1
 
-    def runs(self, shape: Shape, anchors: bool = False) -> Iterator[tuple[np.ndarray, ...]]:
-        """(first, last, hash[, anchor]) of runs of strings with one least hash, a chunk at a time.
-
-        Strings never cross documents. With ``anchors`` a run is cut where its anchor's place changes.
-        """
+    def runs(self, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(first, last, anchor, hash) of runs of strings with one anchor; strings never cross documents."""
         n = len(self.data) - shape.length + 1
-        starts, ends = self.offsets[:-1], self.offsets[1:] - shape.length  # last start in the document
+        starts, ends = self.offsets[:-1], self.offsets[1:] - shape.length  # the last start in a document
         long = ends >= starts
         starts, ends = starts[long], ends[long]
-        if n <= 0 or not len(starts):
-            return
-        flips = np.zeros(len(self.data) + 2, np.int8)
-        np.add.at(flips, starts, 1)
-        np.add.at(flips, ends + 1, -1)
-        for at in range(0, n, CHUNK):
-            to = min(n, at + CHUNK)
-            base = int(np.searchsorted(starts, at, side="right") - 1)
-            inside = 1 if base >= 0 and at <= ends[base] and at != starts[base] else 0
-            valid = (inside + np.cumsum(flips[at:to], dtype=np.int32)) > 0
-            if not valid.any():
-                continue
-            h = shape.hashes(self.data[at : to + shape.length - 1])
-            m = shape.least(h)
-            new = valid.copy()
-            new[1:] &= (m[1:] != m[:-1]) | ~valid[:-1]
-            stop = valid.copy()
-            stop[:-1] &= (m[1:] != m[:-1]) | ~valid[1:]
-            first, last = np.flatnonzero(new), np.flatnonzero(stop)
-            if not anchors:
-                yield first + at, last + at, m[first]
-                continue
-            yield first + at, last + at, m[first], h, at
-
-
-def anchored(first: np.ndarray, last: np.ndarray, value: np.ndarray, h: np.ndarray, at: int, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first, last, anchor) of runs, cut where the leftmost place of the least hash changes."""
+        out = []
+        if n > 0 and len(starts):
+            flips = np.zeros(n + 1, np.int8)
+            flips[starts] += 1
+            flips[ends + 1] -= 1
+            inside = 0
+            for at in range(0, n, CHUNK):
+                to = min(n, at + CHUNK)
+                valid = np.cumsum(flips[at:to], dtype=np.int32) + inside
+                inside = int(valid[-1])
+                valid = valid > 0
+                if valid.any():
+                    h = shape.hashes(self.data[at : to + shape.length - 1])
+                    m = shape.least(h)
+                    same = m[1:] == m[:-1]
+                    new, stop = valid.copy(), valid.copy()
+                    new[1:] &= ~(same & valid[:-1])
+                    stop[:-1] &= ~(same & valid[1:])
+                    first = np.flatnonzero(new)
+                    out += anchored(first, np.flatnonzero(stop), m[first], h, at, shape.span)
+        if not out:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def anchored(first: np.ndarray, last: np.ndarray, value: np.ndarray, h: np.ndarray, at: int, span: int) -> list[tuple]:
+    """Runs of one least hash, cut where its leftmost place changes: (first, last, anchor, hash)."""
     out = []
-    first, last = first - at, last - at
     step = np.arange(span)
     while len(first):
-        found = np.concatenate([(h[first[k : k + 20_000, None] + step] == value[k : k + 20_000, None]).argmax(1) for k in range(0, len(first), 20_000)])
-        anchor = first + found
-        out.append((first + at, np.minimum(last, anchor) + at, anchor + at))
+        anchor = first + (h[first[:, None] + step] == value[:, None]).argmax(1)
+        out.append((first + at, np.minimum(last, anchor) + at, anchor + at, value))
         more = last > anchor
         first, last, value = anchor[more] + 1, last[more], value[more]
-    parts = [np.concatenate(x) for x in zip(*out)]
-    return tuple(parts) if parts else (np.zeros(0, np.int64),) * 3
+    return out
 
 
 def write_blocks(df: DataFrame, id_col: str, text_col: str, keep: list[str], folder: str, block_bytes: int) -> DataFrame:
@@ -226,17 +219,12 @@ class Job:
 
     # The filter: which k-mers are anchors in two documents?
 
-    def anchor_hashes(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
+    def anchor_hashes(self, block: Block, first: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct anchor hashes of a block, ascending, and whether each has two documents in it."""
-        hashes, ids = [], []
-        for first, _, value in block.runs(self.shape):
-            hashes.append(value)
-            ids.append(block.ids[block.documents(first)])
-        if not hashes:
-            return np.zeros(0, np.uint64), np.zeros(0, bool)
-        value, ids = np.concatenate(hashes), np.concatenate(ids)
+        if not len(first):
+            return value, np.zeros(0, bool)
         order = np.argsort(value)
-        value, ids = value[order], ids[order]
+        value, ids = value[order], block.ids[block.documents(first[order])]
         new = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
         return value[new], np.minimum.reduceat(ids, new) != np.maximum.reduceat(ids, new)
 
@@ -247,7 +235,9 @@ class Job:
     def send_hashes(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for name in rows.column(0).to_pylist():
-                value, many = self.anchor_hashes(self.block(name))
+                block = self.block(name)
+                first, _, _, value = block.runs(self.shape)
+                value, many = self.anchor_hashes(block, first, value)
                 at = self.bounds(value)
                 full = [k for k in range(self.buckets) if at[k + 1] > at[k]]
                 yield batch(part=(full, pa.int32()), block=([name] * len(full), pa.string()), hashes=([value[at[k] : at[k + 1]].tobytes() for k in full], pa.binary()), many=([np.packbits(many[at[k] : at[k + 1]]).tobytes() for k in full], pa.binary()))
@@ -280,8 +270,7 @@ class Job:
         group[order] = np.cumsum(new) - 1
         starts = np.flatnonzero(new)
         least = np.minimum.reduceat(ids[order], starts) if len(keys) else ids
-        lengths, tails = suffixes.front_code(ranked[starts])
-        put_file(f"{self.folder}/{name}.{kind}", pack(group=group, least=least, lengths=np.frombuffer(lengths, np.uint8), tails=np.frombuffer(tails, np.uint8), **state))
+        put_file(f"{self.folder}/{name}.{kind}", pack(group=group, least=least, one=order[starts].astype(np.int32), **state))
         some = ranked[starts][np.linspace(0, len(starts) - 1, min(samples, len(starts))).astype(int)] if len(starts) else keys
         return batch(block=([name], pa.string()), count=([len(starts)], pa.int64()), sample=([some.tobytes()], pa.binary()))
 
@@ -290,10 +279,14 @@ class Job:
         for rows in batches:
             for name in rows.column(0).to_pylist():
                 state = unpack(get_file(f"{self.folder}/{name}.{kind}"))
-                lengths, tails, least = state["lengths"], state["tails"], state["least"]
-                if not len(lengths):
+                least, one = state["least"], state["one"]
+                if not len(one):
                     continue
-                keys = rebuilt(lengths, tails, width)
+                block = self.block(name)
+                if kind == "anchor":
+                    keys = self.anchor_keys(block, *(state[x][one].astype(np.int64) for x in ("first", "last", "anchor")))
+                else:
+                    keys = self.string_keys(block, state["place"][one].astype(np.int64))
                 both = np.concatenate((keys, cuts))
                 order = suffixes.sort_rows(np.concatenate((both, (np.arange(len(both)) < len(keys)).astype(np.uint8)[:, None]), axis=1))
                 at = np.flatnonzero(order >= len(keys))  # a cut goes before an equal string
@@ -302,10 +295,10 @@ class Job:
                 part, heads, rests, ids = zip(*out)
                 yield batch(part=(part, pa.int32()), block=([name] * len(out), pa.string()), lengths=(heads, pa.binary()), tails=(rests, pa.binary()), ids=(ids, pa.binary()))
 
-    def merge(self, width: int, prefix: int, part: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        """For every string its smallest id over all blocks, and whether its ``prefix`` goes on in several ways.
+    def merge(self, width: int, part: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        """For every string its smallest id over all blocks, and the longest prefix it shares with another string.
 
-        Groups of a prefix at a range's edges may go on beyond it and count as varied.
+        Strings at a range's edges may have neighbours beyond it and count as sharing all.
         """
         run, share = suffixes.merge([(r["lengths"], r["tails"]) for r in rows], width)
         order = np.argsort(run, kind="stable")
@@ -313,40 +306,32 @@ class Job:
         ids[order] = np.concatenate([np.frombuffer(r["ids"], np.int64) for r in rows])
         new = share < width
         new[0] = True
-        group = np.cumsum(new) - 1
-        least = np.minimum.reduceat(ids, np.flatnonzero(new))[group]
-        fresh = share < prefix
-        fresh[0] = True
-        family = np.cumsum(fresh) - 1
-        varied = np.bincount(family, new) > 1
-        varied[0] = varied[-1] = True
-        least, varied = least[order], varied[family][order]
+        group, starts = np.cumsum(new) - 1, np.flatnonzero(new)
+        least = np.minimum.reduceat(ids, starts)[group]
+        reach = share[starts]
+        reach[:-1] = np.maximum(reach[:-1], reach[1:])
+        reach[0] = reach[-1] = width
+        least, reach = least[order], reach[group][order].astype(np.uint8)
         ends = np.cumsum([len(r["lengths"]) for r in rows])
         for r, end in zip(rows, ends):
             at = end - len(r["lengths"])
-            yield batch(block=([r["block"]], pa.string()), part=([part], pa.int32()), least=([least[at:end].tobytes()], pa.binary()), varied=([np.packbits(varied[at:end]).tobytes()], pa.binary()))
+            yield batch(block=([r["block"]], pa.string()), part=([part], pa.int32()), least=([least[at:end].tobytes()], pa.binary()), reach=([reach[at:end].tobytes()], pa.binary()))
 
     # What blocks do with the answers.
 
     def anchors(self, samples: int, name: str, rows: list[dict]) -> Iterator[pa.RecordBatch]:
         """Suffixes at the anchors that the filter left."""
         block = self.block(name)
-        value, _ = self.anchor_hashes(block)
+        first, last, anchor, hashes = block.runs(self.shape)
+        value, _ = self.anchor_hashes(block, first, hashes)
         at = self.bounds(value)
         common = np.zeros(len(value), bool)
         for r in rows:
             a, b = at[r["part"]], at[r["part"] + 1]
             common[a:b] = np.unpackbits(np.frombuffer(r["flags"], np.uint8), count=b - a)
-        wanted = value[common]
-        parts = []
-        for first, last, hashes, h, base in block.runs(self.shape, anchors=True):
-            if len(wanted):
-                found = np.searchsorted(wanted, hashes)
-                hit = wanted[np.minimum(found, len(wanted) - 1)] == hashes
-                if hit.any():
-                    parts.append(anchored(first[hit], last[hit], hashes[hit], h, base, self.shape.span))
-        first, last, anchor = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 3
-        yield self.local(name, "anchor", self.anchor_keys(block, first, last, anchor), block.ids[block.documents(first)], samples, first=first.astype(np.uint32), last=last.astype(np.uint32))
+        hit = common[np.searchsorted(value, hashes)] if len(value) else common
+        first, last, anchor = first[hit], last[hit], anchor[hit]
+        yield self.local(name, "anchor", self.anchor_keys(block, first, last, anchor), block.ids[block.documents(first)], samples, first=first.astype(np.uint32), last=last.astype(np.uint32), anchor=anchor.astype(np.uint32))
 
     def anchor_keys(self, block: Block, first: np.ndarray, last: np.ndarray, anchor: np.ndarray) -> np.ndarray:
         length, before = self.shape.length, self.shape.span - 1
@@ -366,26 +351,32 @@ class Job:
     def answers(self, state: dict[str, np.ndarray], rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
         rows = sorted((r for r in rows if r["part"] >= 0), key=lambda r: r["part"])
         least = np.concatenate([np.frombuffer(r["least"], np.int64) for r in rows]) if rows else np.zeros(0, np.int64)
-        varied = np.concatenate([np.unpackbits(np.frombuffer(r["varied"], np.uint8), count=len(r["least"]) // 8) for r in rows]).astype(bool) if rows else np.zeros(0, bool)
-        return least[state["group"]], varied[state["group"]]
+        reach = np.concatenate([np.frombuffer(r["reach"], np.uint8) for r in rows]) if rows else np.zeros(0, np.uint8)
+        return least[state["group"]], reach[state["group"]].astype(np.int64)
+
+    def string_keys(self, block: Block, place: np.ndarray) -> np.ndarray:
+        keys = np.empty((len(place), self.shape.length), np.uint8)
+        for at in range(0, len(place), 50_000):
+            keys[at : at + 50_000] = block.data[place[at : at + 50_000, None] + np.arange(self.shape.length)]
+        return keys
 
     def strings(self, samples: int, name: str, rows: list[dict]) -> Iterator[pa.RecordBatch]:
         """Settle what the first sort shows; the strings it leaves open go to the second."""
         block = self.block(name)
         state = unpack(get_file(f"{self.folder}/{name}.anchor"))
         first, last = state["first"].astype(np.int64), state["last"].astype(np.int64)
-        least, varied = self.answers(state, rows)
+        anchor = state["anchor"].astype(np.int64)
+        least, reach = self.answers(state, rows)
         ids = block.ids[block.documents(first)]
         gone = least < ids
         put_file(f"{self.folder}/{name}.gone", pack(first=state["first"][gone], last=state["last"][gone]))
-        open_ = varied & ~gone
+        # A string that ends beyond what its suffix shares with any other suffix has no equal.
+        last = np.minimum(last, anchor + reach - self.shape.length)
+        open_ = (last >= first) & ~gone
         first, last, ids = first[open_], last[open_], ids[open_]
         count = last - first + 1
         place = np.repeat(first - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
-        keys = np.empty((len(place), self.shape.length), np.uint8)
-        for at in range(0, len(place), 50_000):
-            keys[at : at + 50_000] = block.data[place[at : at + 50_000, None] + np.arange(self.shape.length)]
-        yield self.local(name, "string", keys, np.repeat(ids, count), samples, place=place.astype(np.uint32))
+        yield self.local(name, "string", self.string_keys(block, place), np.repeat(ids, count), samples, place=place.astype(np.uint32))
 
     def finish(self, give_kept: bool, name: str, rows: list[dict]) -> Iterator[pa.RecordBatch]:
         """Every document of the block with what is left of it."""
@@ -423,26 +414,6 @@ class Job:
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
-def rebuilt(lengths: np.ndarray, tails: np.ndarray, width: int) -> np.ndarray:
-    """The rows that were front-coded: a byte not stored is that of the last row that stored one there."""
-    out = np.empty((len(lengths), width), np.uint8)
-    step = 100_000
-    at, before = 0, None
-    for k in range(0, len(lengths), step):
-        part = lengths[k : k + step]
-        stored = np.arange(width) >= part[:, None]
-        size = int(stored.sum())
-        values = np.zeros(stored.shape, np.uint8)
-        values[stored] = tails[at : at + size]
-        at += size
-        row = np.where(stored, np.arange(len(part))[:, None], -1)
-        row = np.maximum.accumulate(row, axis=0)
-        got = values[np.maximum(row, 0), np.arange(width)]
-        out[k : k + step] = got if before is None else np.where(row >= 0, got, before)
-        before = out[k + len(part) - 1]
-    return out
-
-
 def splits(found: DataFrame, width: int, ranges: int) -> np.ndarray:
     """First strings of all ranges but the first, from the blocks' samples (a few strings a range in all)."""
     rows = found.select("sample").toLocalIterator()
@@ -484,22 +455,25 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
     common = per_key(sent, "part", job.buckets, job.common_hashes, "block string, part int, flags binary", "block")
     columns = "block string, count long, sample binary"
 
-    def sort(found: DataFrame, name: str, width: int, prefix: int, again: Callable, schema: str, every: bool) -> DataFrame:
+    def sort(found: DataFrame, name: str, width: int, again: Callable, schema: str, every: bool) -> DataFrame:
         total = found.agg(F.sum("count")).first()[0] or 0
         ranges = max(1, min(-(-total // 10_000), max(least, total // range_strings)))
         cuts = splits(found, width, ranges)
         runs = found.select("block").repartition(places, "block").mapInArrow(partial(job.send_runs, name, width, cuts), "part int, block string, lengths binary, tails binary, ids binary")
-        back = per_key(runs, "part", ranges, partial(job.merge, width, prefix), SIDE, "block")
+        back = per_key(runs, "part", ranges, partial(job.merge, width), SIDE, "block")
         none = F.lit(None).cast("binary")
-        back = back.unionByName(found.select("block", F.lit(-1).alias("part"), none.alias("least"), none.alias("varied")))
+        back = back.unionByName(found.select("block", F.lit(-1).alias("part"), none.alias("least"), none.alias("reach")))
         if every:
-            back = back.unionByName(blocks.select("block", F.lit(-2).alias("part"), none.alias("least"), none.alias("varied")))
+            back = back.unionByName(blocks.select("block", F.lit(-2).alias("part"), none.alias("least"), none.alias("reach")))
         return per_key(back, "block", places, again, schema, "part")
 
     samples = max(4, -(-40 * max(least, 64) // count))
     first = cut(per_key(common, "block", places, partial(job.anchors, samples), columns, "part"), "anchors")
-    second = cut(sort(first, "anchor", shape.width, shape.k, partial(job.strings, samples), columns, False), "strings")
+    del sent, common
+    free_shuffles(spark)
+    second = cut(sort(first, "anchor", shape.width, partial(job.strings, samples), columns, False), "strings")
     kept_kinds = "".join(f"__keep{k} {df.schema[c].dataType.simpleString()}, " for k, c in enumerate(keep))
     schema = f"__id long, {kept_kinds}n_bytes long, n_removed long, n_spans long, kept {'string' if digests else 'binary'}"
-    out = sort(second, "string", length, length, partial(job.finish, not digests), schema, True)
+    free_shuffles(spark)
+    out = sort(second, "string", length, partial(job.finish, not digests), schema, True)
     return out.select(F.col("__id").cast(kind).alias(id_col), *[F.col(f"__keep{k}").alias(c) for k, c in enumerate(keep)], "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256" if digests else "kept"))
