@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable
 
@@ -35,8 +36,10 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
 
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark delete shuffle files of plans that nothing refers to any more; it does so as objects are collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(3):  # references go in turns: Python's, the query's, the shuffle's
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def drop_dir(uri: str) -> None:
