@@ -9,7 +9,8 @@ range merges its runs with a loser tree that carries common prefix lengths.
 
 1. Suffixes from the anchors on (each followed by the bytes before it, as far as strings with this anchor
    reach). Equal ones settle all strings around an anchor at once.
-2. The strings that stay open: those that end within the prefix their suffix shares with another one.
+2. The strings that stay open: those that end within the prefix their suffix shares with another one,
+   and whose hash two documents have.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ NONE = -(1 << 63)
 CHUNK = 1 << 18
 RANDOM = np.random.default_rng(20240101)
 BYTE = RANDOM.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+POWERS = RANDOM.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ODD = RANDOM.integers(0, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SIDE = "block string, part int, least binary, reach binary"
 
@@ -219,14 +221,17 @@ class Job:
 
     # The filter: which k-mers are anchors in two documents?
 
-    def anchor_hashes(self, block: Block, first: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct anchor hashes of a block, ascending, and whether each has two documents in it."""
-        if not len(first):
-            return value, np.zeros(0, bool)
+    def distinct(self, value: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct hashes of a block, ascending, whether each has two documents in it, and each row's place among them."""
+        if not len(value):
+            return value, np.zeros(0, bool), np.zeros(0, np.int32)
         order = np.argsort(value)
-        value, ids = value[order], block.ids[block.documents(first[order])]
-        new = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
-        return value[new], np.minimum.reduceat(ids, new) != np.maximum.reduceat(ids, new)
+        value, ids = value[order], ids[order]
+        new = np.concatenate(([True], value[1:] != value[:-1]))
+        place = np.empty(len(value), np.int32)
+        place[order] = np.cumsum(new) - 1
+        new = np.flatnonzero(new)
+        return value[new], np.minimum.reduceat(ids, new) != np.maximum.reduceat(ids, new), place
 
     def bounds(self, value: np.ndarray) -> np.ndarray:
         edges = np.array([(k << 64) // self.buckets for k in range(1, self.buckets)], np.uint64)
@@ -237,10 +242,21 @@ class Job:
             for name in rows.column(0).to_pylist():
                 block = self.block(name)
                 first, _, _, value = block.runs(self.shape)
-                value, many = self.anchor_hashes(block, first, value)
-                at = self.bounds(value)
-                full = [k for k in range(self.buckets) if at[k + 1] > at[k]]
-                yield batch(part=(full, pa.int32()), block=([name] * len(full), pa.string()), hashes=([value[at[k] : at[k + 1]].tobytes() for k in full], pa.binary()), many=([np.packbits(many[at[k] : at[k + 1]]).tobytes() for k in full], pa.binary()))
+                yield self.dealt(name, *self.distinct(value, block.ids[block.documents(first)])[:2])
+
+    def dealt(self, name: str, value: np.ndarray, many: np.ndarray) -> pa.RecordBatch:
+        at = self.bounds(value)
+        full = [k for k in range(self.buckets) if at[k + 1] > at[k]]
+        return batch(part=(full, pa.int32()), block=([name] * len(full), pa.string()), hashes=([value[at[k] : at[k + 1]].tobytes() for k in full], pa.binary()), many=([np.packbits(many[at[k] : at[k + 1]]).tobytes() for k in full], pa.binary()))
+
+    def common(self, value: np.ndarray, rows: list[dict]) -> np.ndarray:
+        """Which of a block's distinct hashes two documents have."""
+        at = self.bounds(value)
+        out = np.zeros(len(value), bool)
+        for r in rows:
+            a, b = at[r["part"]], at[r["part"] + 1]
+            out[a:b] = np.unpackbits(np.frombuffer(r["flags"], np.uint8), count=b - a)
+        return out
 
     def common_hashes(self, part: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
         hashes = [np.frombuffer(r["hashes"], np.uint64) for r in rows]
@@ -323,13 +339,8 @@ class Job:
         """Suffixes at the anchors that the filter left."""
         block = self.block(name)
         first, last, anchor, hashes = block.runs(self.shape)
-        value, _ = self.anchor_hashes(block, first, hashes)
-        at = self.bounds(value)
-        common = np.zeros(len(value), bool)
-        for r in rows:
-            a, b = at[r["part"]], at[r["part"] + 1]
-            common[a:b] = np.unpackbits(np.frombuffer(r["flags"], np.uint8), count=b - a)
-        hit = common[np.searchsorted(value, hashes)] if len(value) else common
+        value, _, place = self.distinct(hashes, first)
+        hit = self.common(value, rows)[place]
         first, last, anchor = first[hit], last[hit], anchor[hit]
         yield self.local(name, "anchor", self.anchor_keys(block, first, last, anchor), block.ids[block.documents(first)], samples, first=first.astype(np.uint32), last=last.astype(np.uint32), anchor=anchor.astype(np.uint32))
 
@@ -360,8 +371,8 @@ class Job:
             keys[at : at + 50_000] = block.data[place[at : at + 50_000, None] + np.arange(self.shape.length)]
         return keys
 
-    def strings(self, samples: int, name: str, rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        """Settle what the first sort shows; the strings it leaves open go to the second."""
+    def open_strings(self, name: str, rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        """Settle what the first sort shows; of the strings it leaves open, hashes go out."""
         block = self.block(name)
         state = unpack(get_file(f"{self.folder}/{name}.anchor"))
         first, last = state["first"].astype(np.int64), state["last"].astype(np.int64)
@@ -376,18 +387,37 @@ class Job:
         first, last, ids = first[open_], last[open_], ids[open_]
         count = last - first + 1
         place = np.repeat(first - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
-        yield self.local(name, "string", self.string_keys(block, place), np.repeat(ids, count), samples, place=place.astype(np.uint32))
+        ids = np.repeat(ids, count)
+        value, many, at = self.distinct(self.string_hashes(block, place), ids)
+        put_file(f"{self.folder}/{name}.open", pack(place=place.astype(np.uint32), at=at, value=value))
+        yield self.dealt(name, value, many)
+
+    def string_hashes(self, block: Block, place: np.ndarray) -> np.ndarray:
+        out = np.empty(len(place), np.uint64)
+        for at in range(0, len(place), 20_000):
+            part = BYTE[block.data[place[at : at + 20_000, None] + np.arange(self.shape.length)]]
+            out[at : at + 20_000] = (part * POWERS[: self.shape.length]).sum(1)
+        out ^= out >> np.uint64(32)
+        return out * ODD[15]
+
+    def strings(self, samples: int, name: str, rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        """The open strings whose hash two documents have."""
+        block = self.block(name)
+        state = unpack(get_file(f"{self.folder}/{name}.open"))
+        place = state["place"].astype(np.int64)[self.common(state["value"], rows)[state["at"]]]
+        yield self.local(name, "string", self.string_keys(block, place), block.ids[block.documents(place)], samples, place=place.astype(np.uint32))
 
     def finish(self, give_kept: bool, name: str, rows: list[dict]) -> Iterator[pa.RecordBatch]:
         """Every document of the block with what is left of it."""
         block = self.block(name)
         length = self.shape.length
         edges = np.zeros(len(block.data) + 1, np.int32)
-        known = any(r["part"] >= -1 for r in rows)
-        if known:
+        marks = {r["part"] for r in rows}
+        if -2 in marks:
             gone = unpack(get_file(f"{self.folder}/{name}.gone"))
             np.add.at(edges, gone["first"].astype(np.int64), 1)
             np.add.at(edges, gone["last"].astype(np.int64) + length, -1)
+        if -1 in marks:
             state = unpack(get_file(f"{self.folder}/{name}.string"))
             if len(state["place"]):
                 least, _ = self.answers(state, rows)
@@ -450,30 +480,34 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
     places = max(count, least)
     job = Job(folder, length, max(least, (size or 0) // (16 << 20)), len(keep))
     shape = job.shape
-    dealt = blocks.select("block").repartition(places, "block")
-    sent = dealt.mapInArrow(job.send_hashes, "part int, block string, hashes binary, many binary")
-    common = per_key(sent, "part", job.buckets, job.common_hashes, "block string, part int, flags binary", "block")
+    hashed, flagged = "part int, block string, hashes binary, many binary", "block string, part int, flags binary"
     columns = "block string, count long, sample binary"
+    none = F.lit(None).cast("binary")
+
+    def marks(found: DataFrame, mark: int) -> DataFrame:
+        return found.select("block", F.lit(mark).alias("part"), none.alias("least"), none.alias("reach"))
 
-    def sort(found: DataFrame, name: str, width: int, again: Callable, schema: str, every: bool) -> DataFrame:
+    def sort(found: DataFrame, name: str, width: int) -> DataFrame:
+        """What each block of ``found`` learns of its strings."""
         total = found.agg(F.sum("count")).first()[0] or 0
         ranges = max(1, min(-(-total // 10_000), max(least, total // range_strings)))
         cuts = splits(found, width, ranges)
         runs = found.select("block").repartition(places, "block").mapInArrow(partial(job.send_runs, name, width, cuts), "part int, block string, lengths binary, tails binary, ids binary")
-        back = per_key(runs, "part", ranges, partial(job.merge, width), SIDE, "block")
-        none = F.lit(None).cast("binary")
-        back = back.unionByName(found.select("block", F.lit(-1).alias("part"), none.alias("least"), none.alias("reach")))
-        if every:
-            back = back.unionByName(blocks.select("block", F.lit(-2).alias("part"), none.alias("least"), none.alias("reach")))
-        return per_key(back, "block", places, again, schema, "part")
+        return per_key(runs, "part", ranges, partial(job.merge, width), SIDE, "block").unionByName(marks(found, -1))
+
+    def filtered(sent: DataFrame, again: Callable, name: str) -> DataFrame:
+        """Blocks with a hash that two documents have, after ``again`` kept and sorted those strings."""
+        common = per_key(sent, "part", job.buckets, job.common_hashes, flagged, "block")
+        return cut(per_key(common, "block", places, again, columns, "part"), name)
 
     samples = max(4, -(-40 * max(least, 64) // count))
-    first = cut(per_key(common, "block", places, partial(job.anchors, samples), columns, "part"), "anchors")
-    del sent, common
+    first = filtered(blocks.select("block").repartition(places, "block").mapInArrow(job.send_hashes, hashed), partial(job.anchors, samples), "anchors")
+    free_shuffles(spark)
+    second = filtered(per_key(sort(first, "anchor", shape.width), "block", places, job.open_strings, hashed, "part"), partial(job.strings, samples), "strings")
     free_shuffles(spark)
-    second = cut(sort(first, "anchor", shape.width, partial(job.strings, samples), columns, False), "strings")
+    last = sort(second, "string", length).unionByName(marks(first, -2)).unionByName(marks(blocks, -3))
     kept_kinds = "".join(f"__keep{k} {df.schema[c].dataType.simpleString()}, " for k, c in enumerate(keep))
     schema = f"__id long, {kept_kinds}n_bytes long, n_removed long, n_spans long, kept {'string' if digests else 'binary'}"
     free_shuffles(spark)
-    out = sort(second, "string", length, partial(job.finish, not digests), schema, True)
+    out = per_key(last, "block", places, partial(job.finish, not digests), schema, "part")
     return out.select(F.col("__id").cast(kind).alias(id_col), *[F.col(f"__keep{k}").alias(c) for k, c in enumerate(keep)], "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256" if digests else "kept"))
