@@ -145,7 +145,7 @@ def fly(rows: DataFrame, level: int, last: bool, seed: int) -> DataFrame:
     return rows.groupBy("g", "c").applyInArrow(group, rows.schema)
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cycle: int = 3, most: int = 3, group: int = 20_000, seed: int = 7) -> DataFrame:
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cycle: int = 3, most: int = 3, group: int = 2000, seed: int = 7) -> DataFrame:
     """How often the mix takes each row.
 
     Returns (id, size, source_size, target, taken): size is the number of words of the whole text (null:
@@ -184,7 +184,7 @@ def copies(rows: DataFrame, shares: DataFrame, group: int, seed: int) -> DataFra
         groups, level = -(-groups // fan), level + 1
 
 
-def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cycle: int = 3, most: int = 3, group: int = 20_000, seed: int = 7) -> DataFrame:
+def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cycle: int = 3, most: int = 3, group: int = 2000, seed: int = 7) -> DataFrame:
     """The rows themselves, each as often as ``mix`` takes it. Of rows that repeat an id and text, each comes as often as one of them."""
     rows = cut(df.select(F.col(id_col).alias("i"), words(text_col).alias("size"), F.col(source_col).cast("string").alias("source"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h")), "sizes")
     taken = copies(rows, targets(rows, cycle, most), group, seed).groupBy(F.col("i").alias("__i"), F.col("h").alias("__h")).agg(F.max("copies").alias("__copies")).where("__copies > 0")
