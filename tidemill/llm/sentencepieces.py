@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: A worker forgets its known chunks beyond this many; chunks over 64 characters are not kept.
-KNOWN = 600_000
+KNOWN = 200_000
 
 
 class PrefixTable:
@@ -128,13 +128,15 @@ class PrefixTable:
             body = b"".join(map(self.known.__getitem__, CHUNK.findall(MARK + text)))
         else:
             body = b"".join(map(self.inner.__getitem__, text.split(MARK)))
-        if len(self.known) + len(self.inner) > KNOWN:
-            self.known.clear()
-            self.inner.clear()
-        if len(self.apart) > 4 * KNOWN:
-            self.apart.clear()
+        if len(self.known) + len(self.inner) > KNOWN or len(self.apart) > 4 * KNOWN:
+            self.forget()
         return head + body + tail
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.inner.clear()
+        self.apart.clear()
+
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 of the text that ``ids`` stand for; the mark put before the text goes again."""
         text = b"".join(map(self.text.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -191,5 +193,6 @@ def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 more = [pa.array([np.frombuffer(x, "<i4") for x in ids], pa.list_(pa.int32())), pa.array([coder.decode(x).decode("utf-8", "replace") for x in ids], pa.string())]
             names = [id_col, "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))]
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes, *more], names=names)
+        coder.forget()  # a worker lives on after its task
 
     return df.select(F.col(id_col), F.col(text_col).cast("string").alias("__text")).mapInArrow(work, out)
