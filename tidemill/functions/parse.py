@@ -75,7 +75,7 @@ def salary(x: Column, strict: bool = False) -> Column:
     """
     text = strip(F.lower(F.coalesce(x, F.lit(""))))
     found = F.regexp_extract_all(text, F.lit(r"([0-9.,]*[0-9][0-9.,]*)" if strict else r"([0-9.,]+)"))
-    numbers = F.transform(found, lambda n: F.expr("double(0)") + F.try_to_number(F.regexp_replace(n, "[.,]", ""), F.lit("9" * 18)).cast("double"))
+    numbers = F.transform(found, lambda n: F.try_to_number(F.regexp_replace(n, "[.,]", ""), F.lit("9" * 18)).cast("double"))
     millions = text.rlike(rf"[0-9][{SPACE}]*tr") if strict else has(text, "triệu", "tr")
     unit = F.when(millions, 1_000_000).when(has(text, "usd", "$"), VND_PER_USD).otherwise(1)
     none = (text == "") | has(text, *NEGOTIABLE) | (F.size(numbers) == 0)
@@ -118,6 +118,6 @@ def posted_at(x: Column, base: Column, strict: bool = False) -> Column:
         age = F.when(text.rlike(pattern), F.timestamp_seconds(F.unix_micros(base) / 1e6 - number * seconds)).otherwise(age)
     now = F.when(has(text, *JUST_NOW), base)
     day = F.coalesce(F.try_to_timestamp(F.when(text.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), text), F.lit("d/M/yyyy")), F.try_to_timestamp(F.when(text.rlike(r"^\d{1,2}-\d{1,2}-\d{4}$"), text), F.lit("d-M-yyyy")))
-    absolute = F.when(text.rlike(iso), F.try_to_timestamp(stamp))
+    absolute = F.when(text.rlike(iso), F.try_to_timestamp(F.when(text.rlike("[t ]"), stamp).otherwise(text)))
     ts = F.coalesce(absolute, day, F.when(number.isNotNull(), age), now)
     return F.struct(F.when(text != "", ts).alias("ts"), (absolute.isNotNull() & ~zoned).alias("naive"))

@@ -25,19 +25,13 @@ def etl_batch(store: str, quarantine: str | None = None, lake: str | None = None
         jobs = etl(postings.valid(raw), [F.col("scraped_at"), F.col("job_id"), F.col("source_url")])
         postings.save_upsert(store, jobs, order=[F.col("scraped_at"), F.col("source_url")])
         if lake:
-            postings.write_processed_lake(postings.stored(jobs, F.max("scraped_at").over(_all())), lake, F.to_timestamp("scraped_at"))
+            postings.write_processed_lake(postings.stored(jobs, F.current_timestamp()), lake, F.current_timestamp())
         if quarantine:
             bad.withColumn("batch", F.lit(number)).write.mode("append").json(quarantine)
 
     return run
 
 
-def _all():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("source")
-
-
 def ingest(spark: SparkSession, inbox: str, store: str, checkpoint: str, files: int = 10, every: str | None = None, quarantine: str | None = None) -> StreamingQuery:
     """Read text files of JSON lines as a queue. ``every`` is a processing interval; without it all is done at once."""
     lines = spark.readStream.option("maxFilesPerTrigger", files).text(inbox)
