@@ -15,7 +15,7 @@ from urllib.parse import quote
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .. import schema
+from .. import schema as schema_of
 from . import boards
 
 RETRY_ON = {429, 500, 502, 503, 504}
@@ -69,7 +69,7 @@ class PostingReader(DataSourceReader):
                 return
             now = datetime.now(timezone.utc)
             for fields in found:
-                yield tuple(partition.board if n == "source" else fields.get(n, "") for n in schema.TEXTS) + (now,)
+                yield tuple(partition.board if n == "source" else fields.get(n, "") for n in schema_of.TEXTS) + (now,)
 
 
 class PostingSource(DataSource):
@@ -80,7 +80,7 @@ class PostingSource(DataSource):
         return "postings"
 
     def schema(self):
-        return schema.RAW
+        return schema_of.RAW
 
-    def reader(self, _) -> PostingReader:
+    def reader(self, schema) -> PostingReader:
         return PostingReader(self.options)
