@@ -21,6 +21,8 @@ from .common import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
 EPSILON = 1e-9
+#: Part of a source's words beyond which a document is decided before the flights.
+GIANT = 0.02
 #: Units that the last flight of a source leaves to its landing, besides those it can't decide.
 HELD = 14
 
@@ -123,6 +125,33 @@ def seeded(seed: int, *parts: object) -> np.random.Generator:
     return np.random.default_rng(int.from_bytes(hashlib.sha256(repr((seed, *parts)).encode()).digest()[:8]))
 
 
+def around_giants(rows: DataFrame) -> DataFrame:
+    """Decide documents with over a ``GIANT`` part of their source first; the others' probability makes up for it.
+
+    A source has fewer than 1 / ``GIANT`` of them. Largest first, each goes where the words taken so far come
+    nearest to those expected.
+    """
+
+    def group(table: pa.Table) -> pa.Table:
+        size, p = table.column("size").to_numpy().astype(float), table.column("p").to_numpy().copy()
+        off = 0.0
+        for k in np.lexsort((table.column("h").to_numpy(), -size)):
+            take = abs(off + (1 - p[k]) * size[k]) < abs(off - p[k] * size[k])
+            off += (take - p[k]) * size[k]
+            p[k] = float(take)
+        return table.set_column(table.schema.get_field_index("p"), "p", pa.array(p))
+
+    giant = F.col("size") > GIANT * F.col("source_size")
+    giants = cut(rows.where(giant).groupBy("g").applyInArrow(group, rows.schema), "giants")
+    small = rows.where(~giant)
+    was = F.col("target") / F.col("source_size") - F.col("base")
+    off = giants.groupBy("g").agg(F.sum((F.col("p") - was) * F.col("size")).alias("__off"))
+    rest = small.groupBy("g").agg(F.sum("size").alias("__rest"))
+    change = off.join(rest, "g").select(F.col("g").alias("__g"), F.coalesce(F.try_divide("__off", "__rest"), F.lit(0.0)).alias("__change"))
+    moved = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("p") - F.coalesce("__change", F.lit(0.0))))
+    return small.join(change, small.g == F.col("__g"), "left").withColumn("p", moved).select(*rows.columns).unionByName(giants)
+
+
 def fly(rows: DataFrame, level: int, last: bool, seed: int) -> DataFrame:
     """One flight for each (g, c) group of rows (g, c, i, size, p), a landing after it if ``last``."""
 
@@ -168,6 +197,7 @@ def copies(rows: DataFrame, shares: DataFrame, group: int, seed: int) -> DataFra
     known = shares.select(F.col("source").alias("s"), F.xxhash64("source").alias("g"), "source_size", "target", "base", F.greatest(F.col("rate") - F.col("base"), F.lit(0.0)).alias("p"), deal.alias("groups"))
     joined = rows.join(known, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     joined = joined.withColumn("c", F.pmod(F.xxhash64("h", F.lit(1)), F.col("groups")))
+    joined = around_giants(cut(joined, "deal"))
     # A source's last group gets what all before it leave, so every group but one flies without landing.
     groups = shares.agg(F.max(deal)).first()[0] or 1
     now, level, done = joined, 0, None
