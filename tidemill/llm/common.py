@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import time
@@ -69,6 +70,15 @@ def get_file(uri: str) -> bytes:
         return source.read()
 
 
+def tidy() -> None:
+    """Give freed memory back to the system: Python workers live on after their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def byte_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(offsets of length n+1 starting at 0, bytes) of a binary or string array; nulls are empty."""
     if column.null_count:

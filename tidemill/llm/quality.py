@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 SPACES = np.zeros(128, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -161,6 +163,7 @@ def classify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         for batch in batches:
             scores = np.array([known.score(t) for t in batch.column(2).to_pylist()], float)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names=[id_col, "held_out", "score", "predicted"])
+        tidy()
 
     rows = df.select(F.col(id_col), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("__text"))
     return rows.mapInArrow(work, f"`{id_col}` {kind}, held_out boolean, score double, predicted int")
@@ -175,5 +178,6 @@ def keep_good(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         known = sent.value
         for batch in batches:
             yield batch.filter(pa.array([known.score(t) >= 0.5 for t in batch.column(place).to_pylist()], pa.bool_()))
+        tidy()
 
     return df.mapInArrow(work, df.schema)

@@ -21,6 +21,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: A worker forgets its known chunks beyond this many; chunks over 64 characters are not kept.
@@ -193,6 +195,7 @@ def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 more = [pa.array([np.frombuffer(x, "<i4") for x in ids], pa.list_(pa.int32())), pa.array([coder.decode(x).decode("utf-8", "replace") for x in ids], pa.string())]
             names = [id_col, "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))]
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes, *more], names=names)
-        coder.forget()  # a worker lives on after its task
+        coder.forget()
+        tidy()
 
     return df.select(F.col(id_col), F.col(text_col).cast("string").alias("__text")).mapInArrow(work, out)

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_column, cut
+from .common import byte_column, cut, tidy
 from .components import components
 
 SEED = 42
@@ -53,6 +53,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             raw, offsets = data.tobytes(), offsets.tolist()
             found = np.array([fingerprint(raw[a:b], words) for a, b in zip(offsets, offsets[1:])], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=[id_col, "fp"])
+        tidy()
 
     return df.select(F.col(id_col), F.col(text_col).cast("string").cast("binary").alias("__text")).mapInArrow(work, f"`{id_col}` {kind}, fp long")
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import suffixes
-from .common import byte_column, cut, free_shuffles, get_file, make_dir, put_file, work_dir
+from .common import byte_column, cut, drop_dir, free_shuffles, get_file, make_dir, put_file, tidy, work_dir
 
 NONE = -(1 << 63)
 CHUNK = 1 << 18
@@ -130,7 +130,8 @@ def anchored(first: np.ndarray, last: np.ndarray, value: np.ndarray, h: np.ndarr
 
 def write_blocks(df: DataFrame, id_col: str, text_col: str, keep: list[str], folder: str, block_bytes: int) -> DataFrame:
     """(block, rows, bytes) of block files written from the rows as they lie; files of lost attempts stay unread."""
-    make_dir(folder)
+    for name in ("", "/anchor", "/gone", "/open", "/string"):
+        make_dir(folder + name)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, number = [], 0, 0
@@ -188,6 +189,7 @@ def per_key(df: DataFrame, key: str, places: int, work: Callable, schema: str, *
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for value, rows in grouped(batches):
             yield from work(value, rows)
+        tidy()
 
     columns = [key, *[c for c in df.columns if c != key]]
     return df.select(*columns).repartition(places, key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
@@ -210,6 +212,17 @@ def unpack(data: bytes) -> dict[str, np.ndarray]:
         return dict(found)
 
 
+def places(first: np.ndarray, last: np.ndarray, anchor: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """Runs as small numbers, which compress well."""
+    out = {"step": np.diff(first, prepend=0).astype(np.int32), "size": (last - first).astype(np.uint8)}
+    return out | ({"to": (anchor - first).astype(np.uint8)} if anchor is not None else {})
+
+
+def placed(state: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    first = np.cumsum(state["step"], dtype=np.int64)
+    return first, first + state["size"], first + state["to"] if "to" in state else None
+
+
 class Job:
     """The steps over blocks; each runs on executors and reads and writes only files of the shared folder."""
 
@@ -286,7 +299,7 @@ class Job:
         group[order] = np.cumsum(new) - 1
         starts = np.flatnonzero(new)
         least = np.minimum.reduceat(ids[order], starts) if len(keys) else ids
-        put_file(f"{self.folder}/{name}.{kind}", pack(group=group, least=least, one=order[starts].astype(np.int32), **state))
+        put_file(f"{self.folder}/{kind}/{name}", pack(group=group, least=least, one=order[starts].astype(np.int32), **state))
         some = ranked[starts][np.linspace(0, len(starts) - 1, min(samples, len(starts))).astype(int)] if len(starts) else keys
         return batch(block=([name], pa.string()), count=([len(starts)], pa.int64()), sample=([some.tobytes()], pa.binary()))
 
@@ -294,13 +307,13 @@ class Job:
         """The block's front-coded run, cut at the ranges' first strings."""
         for rows in batches:
             for name in rows.column(0).to_pylist():
-                state = unpack(get_file(f"{self.folder}/{name}.{kind}"))
+                state = unpack(get_file(f"{self.folder}/{kind}/{name}"))
                 least, one = state["least"], state["one"]
                 if not len(one):
                     continue
                 block = self.block(name)
                 if kind == "anchor":
-                    keys = self.anchor_keys(block, *(state[x][one].astype(np.int64) for x in ("first", "last", "anchor")))
+                    keys = self.anchor_keys(block, *(x[one] for x in placed(state)))
                 else:
                     keys = self.string_keys(block, state["place"][one].astype(np.int64))
                 both = np.concatenate((keys, cuts))
@@ -342,7 +355,7 @@ class Job:
         value, _, place = self.distinct(hashes, first)
         hit = self.common(value, rows)[place]
         first, last, anchor = first[hit], last[hit], anchor[hit]
-        yield self.local(name, "anchor", self.anchor_keys(block, first, last, anchor), block.ids[block.documents(first)], samples, first=first.astype(np.uint32), last=last.astype(np.uint32), anchor=anchor.astype(np.uint32))
+        yield self.local(name, "anchor", self.anchor_keys(block, first, last, anchor), block.ids[block.documents(first)], samples, **places(first, last, anchor))
 
     def anchor_keys(self, block: Block, first: np.ndarray, last: np.ndarray, anchor: np.ndarray) -> np.ndarray:
         length, before = self.shape.length, self.shape.span - 1
@@ -374,23 +387,24 @@ class Job:
     def open_strings(self, name: str, rows: list[dict]) -> Iterator[pa.RecordBatch]:
         """Settle what the first sort shows; of the strings it leaves open, hashes go out."""
         block = self.block(name)
-        state = unpack(get_file(f"{self.folder}/{name}.anchor"))
-        first, last = state["first"].astype(np.int64), state["last"].astype(np.int64)
-        anchor = state["anchor"].astype(np.int64)
+        state = unpack(get_file(f"{self.folder}/anchor/{name}"))
+        first, last, anchor = placed(state)
         least, reach = self.answers(state, rows)
         ids = block.ids[block.documents(first)]
         gone = least < ids
-        put_file(f"{self.folder}/{name}.gone", pack(first=state["first"][gone], last=state["last"][gone]))
+        put_file(f"{self.folder}/gone/{name}", pack(**places(first[gone], last[gone])))
         # A string that ends beyond what its suffix shares with any other suffix has no equal.
         last = np.minimum(last, anchor + reach - self.shape.length)
         open_ = (last >= first) & ~gone
         first, last, ids = first[open_], last[open_], ids[open_]
+        put_file(f"{self.folder}/open/{name}", pack(**places(first, last)))
+        yield self.dealt(name, *self.open_hashes(block, first, last)[1:3])
+
+    def open_hashes(self, block: Block, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(place of every string of the runs, distinct hashes, whether two documents have them, which a place has)."""
         count = last - first + 1
         place = np.repeat(first - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
-        ids = np.repeat(ids, count)
-        value, many, at = self.distinct(self.string_hashes(block, place), ids)
-        put_file(f"{self.folder}/{name}.open", pack(place=place.astype(np.uint32), at=at, value=value))
-        yield self.dealt(name, value, many)
+        return place, *self.distinct(self.string_hashes(block, place), block.ids[block.documents(place)])
 
     def string_hashes(self, block: Block, place: np.ndarray) -> np.ndarray:
         out = np.empty(len(place), np.uint64)
@@ -403,8 +417,9 @@ class Job:
     def strings(self, samples: int, name: str, rows: list[dict]) -> Iterator[pa.RecordBatch]:
         """The open strings whose hash two documents have."""
         block = self.block(name)
-        state = unpack(get_file(f"{self.folder}/{name}.open"))
-        place = state["place"].astype(np.int64)[self.common(state["value"], rows)[state["at"]]]
+        first, last, _ = placed(unpack(get_file(f"{self.folder}/open/{name}")))
+        place, value, _, at = self.open_hashes(block, first, last)
+        place = place[self.common(value, rows)[at]]
         yield self.local(name, "string", self.string_keys(block, place), block.ids[block.documents(place)], samples, place=place.astype(np.uint32))
 
     def finish(self, give_kept: bool, name: str, rows: list[dict]) -> Iterator[pa.RecordBatch]:
@@ -414,11 +429,11 @@ class Job:
         edges = np.zeros(len(block.data) + 1, np.int32)
         marks = {r["part"] for r in rows}
         if -2 in marks:
-            gone = unpack(get_file(f"{self.folder}/{name}.gone"))
-            np.add.at(edges, gone["first"].astype(np.int64), 1)
-            np.add.at(edges, gone["last"].astype(np.int64) + length, -1)
+            first, last, _ = placed(unpack(get_file(f"{self.folder}/gone/{name}")))
+            np.add.at(edges, first, 1)
+            np.add.at(edges, last + length, -1)
         if -1 in marks:
-            state = unpack(get_file(f"{self.folder}/{name}.string"))
+            state = unpack(get_file(f"{self.folder}/string/{name}"))
             if len(state["place"]):
                 least, _ = self.answers(state, rows)
                 place = state["place"].astype(np.int64)
@@ -504,6 +519,8 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
     first = filtered(blocks.select("block").repartition(places, "block").mapInArrow(job.send_hashes, hashed), partial(job.anchors, samples), "anchors")
     free_shuffles(spark)
     second = filtered(per_key(sort(first, "anchor", shape.width), "block", places, job.open_strings, hashed, "part"), partial(job.strings, samples), "strings")
+    drop_dir(f"{folder}/anchor")  # all they told is in the strings
+    drop_dir(f"{folder}/open")
     free_shuffles(spark)
     last = sort(second, "string", length).unionByName(marks(first, -2)).unionByName(marks(blocks, -3))
     kept_kinds = "".join(f"__keep{k} {df.schema[c].dataType.simpleString()}, " for k, c in enumerate(keep))
