@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import SPACE, strip
+from .text import SPACE, let, strip
 
 # Dictionaries in their order; the first key that a text contains decides.
 CITIES = {
@@ -48,10 +48,14 @@ def has(x: Column, *words: str) -> Column:
 
 
 def first_match(x: Column, table: dict[str, list[str]], default: Column) -> Column:
-    out = default
-    for value, words in reversed(table.items()):
-        out = F.when(has(x, *words), F.lit(value)).otherwise(out)
-    return out
+
+    def chain(t: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for value, words in reversed(table.items()):
+            out = F.when(has(t, *words), F.lit(value)).otherwise(out)
+        return out
+
+    return F.coalesce(let(x, chain), default)
 
 
 def location(x: Column) -> Column:
@@ -73,28 +77,34 @@ def salary(x: Column, strict: bool = False) -> Column:
     run without a digit makes the row ``bad``: transformations drop it. ``strict`` corrects both: a run needs
     a digit, and ``tr`` must follow a number.
     """
-    text = strip(F.lower(F.coalesce(x, F.lit(""))))
-    found = F.regexp_extract_all(text, F.lit(r"([0-9.,]*[0-9][0-9.,]*)" if strict else r"([0-9.,]+)"))
-    numbers = F.transform(found, lambda n: F.try_to_number(F.regexp_replace(n, "[.,]", ""), F.lit("9" * 18)).cast("double"))
-    millions = text.rlike(rf"[0-9][{SPACE}]*tr") if strict else has(text, "triệu", "tr")
-    unit = F.when(millions, 1_000_000).when(has(text, "usd", "$"), VND_PER_USD).otherwise(1)
-    none = (text == "") | has(text, *NEGOTIABLE) | (F.size(numbers) == 0)
-    end = lambda k: F.when(~none, (F.try_element_at(numbers, F.lit(k)) * unit).cast("long"))
-    return F.struct(end(1).alias("low"), end(-1).alias("high"), (~none & F.exists(numbers, lambda n: n.isNull())).alias("bad"))
+    digits = F.lit(r"([0-9.,]*[0-9][0-9.,]*)" if strict else r"([0-9.,]+)")
+
+    def of(text: Column) -> Column:
+        millions = text.rlike(rf"[0-9][{SPACE}]*tr") if strict else has(text, "triệu", "tr")
+        unit = F.when(millions, 1_000_000).when(has(text, "usd", "$"), VND_PER_USD).otherwise(1)
+        numbers = F.transform(F.regexp_extract_all(text, digits), lambda n: F.try_to_number(F.regexp_replace(n, "[.,]", ""), F.lit("9" * 18)).cast("double"))
+        return let(numbers, lambda found: ends(found, unit, (text == "") | has(text, *NEGOTIABLE) | (F.size(found) == 0)))
+
+    def ends(numbers: Column, unit: Column, none: Column) -> Column:
+        end = lambda k: F.when(~none, (F.try_element_at(numbers, F.lit(k)) * unit).cast("long"))
+        return F.struct(end(1).alias("low"), end(-1).alias("high"), (~none & F.exists(numbers, lambda n: n.isNull())).alias("bad"))
+
+    return let(strip(F.lower(F.coalesce(x, F.lit("")))), of)
 
 
 def tags(title: Column, description: Column, requirements: Column) -> Column:
     """Skills named, ascending. Short ones need word edges on both sides, by which c++ and c# hardly ever match."""
-    text = F.lower(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in (title, description, requirements)]))
     word = r"\p{L}\p{N}_"
+    plain = F.array(*[F.lit(s) for s in SHORT_SKILLS if s.isalnum()])
 
-    def edged(skill: str) -> Column:
-        quoted = "".join("\\" + c if not c.isalnum() else c for c in skill)
-        right = rf"(?![{word}])" if skill[-1].isalnum() else rf"(?=[{word}])"
-        return text.rlike(rf"(?<![{word}]){quoted}{right}")
+    def of(text: Column) -> Column:
+        words = F.array_intersect(F.split(text, f"[^{word}]+"), plain)
+        # after a sign the right edge is a letter or digit
+        signed = [F.when(F.contains(text, F.lit(s)) & text.rlike(rf"(?<![{word}])" + "".join("\\" + c if not c.isalnum() else c for c in s) + rf"(?=[{word}])"), F.lit(s)) for s in SHORT_SKILLS if not s.isalnum()]
+        long = [F.when(F.contains(text, F.lit(s)), F.lit(s)) for s in LONG_SKILLS]
+        return F.array_sort(F.concat(words, F.array_compact(F.array(*signed, *long))))
 
-    found = [F.when(edged(s), F.lit(s)) for s in SHORT_SKILLS] + [F.when(F.contains(text, F.lit(s)), F.lit(s)) for s in LONG_SKILLS]
-    return F.array_sort(F.array_distinct(F.array_compact(F.array(*found))))
+    return let(F.lower(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in (title, description, requirements)])), of)
 
 
 def posted_at(x: Column, base: Column, strict: bool = False) -> Column:
@@ -104,20 +114,22 @@ def posted_at(x: Column, base: Column, strict: bool = False) -> Column:
     Vietnamese ones, and a bare letter g means hours, so that ``3 ngày`` and ``5 minutes ago`` give hours;
     ``strict`` looks for whole unit words instead and knows minutes.
     """
-    text = strip(F.lower(F.coalesce(x, F.lit(""))))
-    iso = r"^\d{4}-\d{2}-\d{2}([t ]\d{2}(:\d{2}(:\d{2}(\.\d{1,6})?)?)?)?(z|[+-]\d{2}(:?\d{2})?)?$"
-    zoned = text.rlike(iso) & text.rlike(r"[t ].*(z|[+-]\d{2}(:?\d{2})?)$")
-    stamp = F.upper(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"([t ]\d{2})(z|[+-].*)?$", "$1:00$2"), r"([+-]\d{2})$", "$1:00"), r"(\d)([+-]\d{2})(\d{2})$", "$1$2:$3"))
-    number = F.try_to_number(F.regexp_extract(text, r"(\d+)", 1), F.lit("9" * 9)).cast("int")
-    if strict:
-        units = [(r"phút|min", 60), (r"giờ|hour|hr", 3600), (r"ngày|day", 86400), (r"tuần|week", 604800), (r"tháng|month", 2592000)]
-    else:
-        units = [(r"hour|hr", 3600), (r"day", 86400), (r"week", 604800), (r"month", 2592000), (r"giờ|g", 3600), (r"tuần", 604800)]
-    age = F.lit(None).cast("timestamp")
-    for pattern, seconds in reversed(units):
-        age = F.when(text.rlike(pattern), F.timestamp_seconds(F.unix_micros(base) / 1e6 - number * seconds)).otherwise(age)
-    now = F.when(has(text, *JUST_NOW), base)
-    day = F.coalesce(F.try_to_timestamp(F.when(text.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), text), F.lit("d/M/yyyy")), F.try_to_timestamp(F.when(text.rlike(r"^\d{1,2}-\d{1,2}-\d{4}$"), text), F.lit("d-M-yyyy")))
-    absolute = F.when(text.rlike(iso), F.try_to_timestamp(F.when(text.rlike("[t ]"), stamp).otherwise(text)))
-    ts = F.coalesce(absolute, day, F.when(number.isNotNull(), age), now)
-    return F.struct(F.when(text != "", ts).alias("ts"), (absolute.isNotNull() & ~zoned).alias("naive"))
+    def of(text: Column) -> Column:
+        iso = r"^\d{4}-\d{2}-\d{2}([t ]\d{2}(:\d{2}(:\d{2}(\.\d{1,6})?)?)?)?(z|[+-]\d{2}(:?\d{2})?)?$"
+        zoned = text.rlike(iso) & text.rlike(r"[t ].*(z|[+-]\d{2}(:?\d{2})?)$")
+        stamp = F.upper(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"([t ]\d{2})(z|[+-].*)?$", "$1:00$2"), r"([+-]\d{2})$", "$1:00"), r"(\d)([+-]\d{2})(\d{2})$", "$1$2:$3"))
+        number = F.try_to_number(F.regexp_extract(text, r"(\d+)", 1), F.lit("9" * 9)).cast("int")
+        if strict:
+            units = [(r"phút|min", 60), (r"giờ|hour|hr", 3600), (r"ngày|day", 86400), (r"tuần|week", 604800), (r"tháng|month", 2592000)]
+        else:
+            units = [(r"hour|hr", 3600), (r"day", 86400), (r"week", 604800), (r"month", 2592000), (r"giờ|g", 3600), (r"tuần", 604800)]
+        age = F.lit(None).cast("timestamp")
+        for pattern, seconds in reversed(units):
+            age = F.when(text.rlike(pattern), F.timestamp_seconds(F.unix_micros(base) / 1e6 - number * seconds)).otherwise(age)
+        now = F.when(has(text, *JUST_NOW), base)
+        day = F.coalesce(F.try_to_timestamp(F.when(text.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), text), F.lit("d/M/yyyy")), F.try_to_timestamp(F.when(text.rlike(r"^\d{1,2}-\d{1,2}-\d{4}$"), text), F.lit("d-M-yyyy")))
+        absolute = F.when(text.rlike(iso), F.try_to_timestamp(F.when(text.rlike("[t ]"), stamp).otherwise(text)))
+        ts = F.coalesce(absolute, day, F.when(number.isNotNull(), age), now)
+        return F.struct(F.when(text != "", ts).alias("ts"), (absolute.isNotNull() & ~zoned).alias("naive"))
+
+    return let(strip(F.lower(F.coalesce(x, F.lit("")))), of)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -33,6 +34,11 @@ def nfc(x: pd.Series) -> pd.Series:
     return x.map(lambda s: s if s is None or s.isascii() else unicodedata.normalize("NFC", s))
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of ``x`` with ``x`` evaluated once, however often ``f`` uses it; branches would repeat it."""
+    return F.transform(F.array(x), f)[0]
+
+
 def strip(x: Column) -> Column:
     return F.regexp_replace(x, f"^[{SPACE}]+|[{SPACE}]+$", "")
 
