@@ -48,3 +48,21 @@ def test_registered_queries(spark):
     assert sorted(int(n[2:].split("_")[0]) for n in found) == list(range(1, 11))
     assert set(queries.oracle_sql()) <= set(found)
     assert zlib.crc32(b"1") % 3 in (0, 1, 2)
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Empty tables, rows of nulls, very long and repeated rows, and extra columns go through every stage."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, fp int, block string"
+    long = " ".join(f"w{k % 997}" for k in range(60_000))
+    odd = [(None,) * 8, (None,) * 8, (1, long, "en", "a", 1, "k", 1, "b"), (2, long, None, None, 1, "k", 1, "b"), (3, None, "en", "a", None, None, None, None), (3, "x", "en", "a", 1, "", 0, ""), (3, "x", "en", "a", 1, "", 0, "")]
+    for name, rows in (("empty", []), ("odd", odd)):
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{folder}/labels.parquet")
+        out = corpus_pipeline.run(spark, folder).collect()
+        assert bool(out) == bool(rows)
+    docs = spark.read.parquet(f"{tmp_path}/odd/documents.parquet")
+    assert corpus_pipeline.quality_stage(spark, docs, f"{tmp_path}/odd").count() == len(odd)
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()
+    # the empty texts (fingerprint 0), the long ones, and x: one document each
+    assert sorted((r.doc_id, len(r.text or "")) for r in kept) == [(1, len(long)), (3, 0), (3, 1)]
