@@ -25,8 +25,8 @@ from .common import tidy
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-#: A worker forgets its known chunks beyond this many; chunks over 64 characters are not kept.
-KNOWN = 200_000
+#: A worker forgets its known chunks beyond this many, and pairs beyond twice as many; chunks over 64 characters are not kept.
+KNOWN = 400_000
 
 
 class PrefixTable:
@@ -130,8 +130,11 @@ class PrefixTable:
             body = b"".join(map(self.known.__getitem__, CHUNK.findall(MARK + text)))
         else:
             body = b"".join(map(self.inner.__getitem__, text.split(MARK)))
-        if len(self.known) + len(self.inner) > KNOWN or len(self.apart) > 4 * KNOWN:
-            self.forget()
+        if len(self.known) + len(self.inner) > KNOWN:
+            self.known.clear()
+            self.inner.clear()
+        if len(self.apart) > 2 * KNOWN:
+            self.apart.clear()
         return head + body + tail
 
     def forget(self) -> None:
