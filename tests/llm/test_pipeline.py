@@ -1,5 +1,6 @@
 """The pipeline on a small fixture: each stage's decisions against a plain version."""
 
+import random
 import re
 import zlib
 
@@ -66,3 +67,44 @@ def test_stages_on_odd_tables(spark, tmp_path):
     kept = corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()
     # the empty texts (fingerprint 0), the long ones, and x: one document each
     assert sorted((r.doc_id, len(r.text or "")) for r in kept) == [(1, len(long)), (3, 0), (3, 1)]
+
+
+def test_near_duplicates_against_brute_force_jaccard(spark):
+    """Edited copies whose fingerprints lie more than four bits apart are one group; less similar texts stay."""
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(400)]
+    rows = []
+    for base in range(12):
+        text = [rng.choice(words) for _ in range(200)]
+        for copy in range(6):
+            edited = list(text)
+            for at in rng.sample(range(200), (0, 1, 2, 4, 5, 9)[copy]):
+                edited[at] = f"new{base}x{copy}x{at}"
+            rows.append((base * 10 + copy, " ".join(edited)))
+    line = "one very common line of words that many of the texts do hold"
+    rows += [(500 + k, f"{line} " + " ".join(rng.choice(words) for _ in range(12))) for k in range(40)]
+    rows += [(600, None), (601, ""), (602, "two Words"), (603, "two  words"), (None, "two words")]
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append({" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    group = list(range(len(rows)))
+
+    def find(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                group[find(a)] = find(b)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[find(k)] = min(i, least.get(find(k), i))
+    want = {i for i, _ in rows if i in least.values()}
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()]
+    assert sorted(got) == sorted(want)
+    assert 12 < sum(i < 200 for i in want) < 72

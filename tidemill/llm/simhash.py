@@ -22,20 +22,26 @@ from .components import components
 SEED = 42
 
 
-def fingerprint(text: bytes, words: int = 4) -> int:
-    """Bits set in over half the XXH64 hashes of the text's word shingles, repeats included."""
+def shingles(text: bytes, words: int) -> bytes:
+    """XXH64 digests, 8 bytes each, of the text's word shingles, repeats included; of all words if they are too few."""
     parts = text.lower().split()  # of bytes: A-Z, and the six ASCII spaces
     if not parts:
-        return 0
+        return b""
     digest = xxhash.xxh64_digest
     if len(parts) <= words:
-        return int.from_bytes(digest(b" ".join(parts), SEED))
+        return digest(b" ".join(parts), SEED)
     line = b" ".join(parts)
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
     ends = np.cumsum(sizes + 1) - 1
     starts = (ends - sizes)[: len(parts) - words + 1].tolist()
     ends = ends[words - 1 :].tolist()
-    raw = b"".join([digest(line[a:b], SEED) for a, b in zip(starts, ends)])
+    return b"".join([digest(line[a:b], SEED) for a, b in zip(starts, ends)])
+
+
+def majority(raw: bytes) -> int:
+    """Bits set in over half of the digests."""
+    if not raw:
+        return 0
     count = np.zeros(64, np.int64)
     bits = np.frombuffer(raw, np.uint8).reshape(-1, 8)
     for at in range(0, len(bits), 200_000):
@@ -43,6 +49,11 @@ def fingerprint(text: bytes, words: int = 4) -> int:
     return int.from_bytes(np.packbits(2 * count > len(bits)).tobytes())
 
 
+def fingerprint(text: bytes, words: int = 4) -> int:
+    """Bits set in over half the XXH64 hashes of the text's word shingles, repeats included."""
+    return majority(shingles(text, words))
+
+
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
     """(id, fp long) of every whole text: the fingerprint's 64 bits as a signed integer. Null text: 0."""
     kind = df.schema[id_col].dataType.simpleString()
