@@ -108,3 +108,25 @@ def test_near_duplicates_against_brute_force_jaccard(spark):
     got = [r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()]
     assert sorted(got) == sorted(want)
     assert 12 < sum(i < 200 for i in want) < 72
+
+
+def test_passages_leave_other_characters_whole(spark):
+    """Replacement characters of a text stay; bytes of cut characters go, and never join to another character."""
+    shared = "\u65e5this passage of more than fifty bytes comes again in other texts. \u65e5"
+    other = "and here is a passage which is as long and comes again as well"
+    rows = [
+        (1, "as it was \ufffd here"),
+        (2, "first " + shared + " one"),
+        (3, "other \ufffd start " + shared + " end \ufffd"),
+        # characters that share their first byte (\u65e5, \u6625), first two (\u65e5, \u65e6) or last (\u65e5, \u6625)
+        (4, "caf\xe9 \u65e6" + shared[1:-1] + "\u6625 caf\xe9"),
+        (5, "x" * 60 + "\u65e5 a"),
+        (6, "x" * 60 + "\u65e6\u6625 b"),
+        (7, "\u65e5" + other + "\u65e6 c"),
+        (8, "\u6625" + other + "\u65e5 d"),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in corpus_pipeline.passage_stage(spark, docs, "").collect()}
+    assert [got[i].text for i in (1, 2, 5, 7)] == [rows[i - 1][1] for i in (1, 2, 5, 7)]
+    assert [got[i].text for i in (3, 4, 6, 8)] == ["other \ufffd starend \ufffd", "caf\xe9 \u65e6 caf\xe9", "\u6625 b", " d"]
+    assert all(r.n_chars == len(r.text) for r in got.values())

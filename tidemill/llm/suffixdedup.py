@@ -226,8 +226,8 @@ def placed(state: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nda
 class Job:
     """The steps over blocks; each runs on executors and reads and writes only files of the shared folder."""
 
-    def __init__(self, folder: str, length: int, buckets: int, keep: int):
-        self.folder, self.shape, self.buckets, self.keep = folder, Shape(length), buckets, keep
+    def __init__(self, folder: str, length: int, buckets: int, keep: int, characters: bool = False):
+        self.folder, self.shape, self.buckets, self.keep, self.characters = folder, Shape(length), buckets, keep, characters
 
     def block(self, name: str) -> Block:
         return Block(f"{self.folder}/{name}.block")
@@ -449,6 +449,11 @@ class Job:
         begins[starts] = removed[starts]  # runs end with their document
         spans = np.concatenate(([0], np.cumsum(begins)))
         raw, kept = block.data.tobytes(), ~removed
+        if self.characters and len(kept):
+            opens = (block.data & 0xC0) != 0x80
+            opens[starts] = True  # characters end with their document
+            opens = np.flatnonzero(opens)
+            kept = np.repeat(np.logical_and.reduceat(kept, opens), np.diff(np.append(opens, len(kept))))
         sizes, n_removed, n_spans = np.diff(offsets), total[offsets[1:]] - total[offsets[:-1]], spans[offsets[1:]] - spans[offsets[:-1]]
         for at in range(0, len(sizes), 2000):
             to = min(len(sizes), at + 2000)
@@ -472,11 +477,12 @@ def splits(found: DataFrame, width: int, ranges: int) -> np.ndarray:
     return picked[np.concatenate(([True], (picked[1:] != picked[:-1]).any(1)))] if len(picked) else picked
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, keep: list[str] | None = None, digests: bool = False, block_bytes: int = 8 << 20, range_strings: int = 250_000) -> DataFrame:
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, keep: list[str] | None = None, digests: bool = False, characters: bool = False, block_bytes: int = 8 << 20, range_strings: int = 250_000) -> DataFrame:
     """Remove each byte covered by a ``length``-byte string that also starts in a document with a smaller id.
 
     Returns (id, [``keep`` columns], n_bytes, n_removed, n_spans, kept binary), or with ``digests``
-    kept_sha256 for kept. Texts count as UTF-8 bytes; strings never cross documents and are judged on
+    kept_sha256 for kept. With ``characters``, what a span leaves of a UTF-8 character at its edges is not
+    kept either; the counts stay those of the spans. Texts count as UTF-8 bytes; strings never cross documents and are judged on
     the input. A null or empty text has no bytes. A null id counts as smaller than any other; rows that
     repeat an id never remove each other's bytes. One row out per row in; columns other than ``keep`` are
     not read, and their names may be any; an empty table gives no rows. Ids are whole numbers.
@@ -493,7 +499,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
     count, size = blocks.agg(F.count("*"), F.sum("bytes")).first()
     count, least = max(1, count), int(spark.conf.get("spark.sql.shuffle.partitions"))
     places = max(count, least)
-    job = Job(folder, length, max(least, (size or 0) // (16 << 20)), len(keep))
+    job = Job(folder, length, max(least, (size or 0) // (16 << 20)), len(keep), characters)
     shape = job.shape
     hashed, flagged = "part int, block string, hashes binary, many binary", "block string, part int, flags binary"
     columns = "block string, count long, sample binary"
