@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import defaultdict
 
@@ -346,6 +347,23 @@ def test_licenses(spark, docs, empty):
     assert not re.search("Python|Arrow|Pandas|Exchange", plan)
 
 
+def test_wrapped_licenses(spark):
+    """Licence files and source headers are wrapped, and Apache's URL is a paragraph of its own."""
+    apache = licenses.RULES["apache-2.0"].replace(" http", "\n\n    http").replace("2.0 Unless", "2.0\n\nUnless")
+    texts, want = [], []
+    for rule in ("mit", "isc", "bsd-2-clause", "bsd-3-clause", "apache-2.0", "gpl-3.0-or-later", "unlicense"):
+        text = apache if rule == "apache-2.0" else licenses.RULES[rule].replace("conditions: The", "conditions:\n\nThe").replace("met: ", "met:\n\n1. ")
+        for width, mark, end in ((72, "", "\n"), (60, "# ", "\n"), (76, " * ", "\n"), (70, "// ", "\r\n")):
+            lines = [line for part in text.split("\n") for line in (textwrap.wrap(part, width) or [""])]
+            texts.append(end.join(mark + line for line in ["Copyright (c) 2020 Some One", "", *lines, "", "import this"]))
+            want.append(["bsd-2-clause", "bsd-3-clause"] if rule == "bsd-3-clause" else [rule])
+    texts.append("an intro line\nReleased under the MIT License.\nand a line after")
+    want.append(["mit-notice"])
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[k].licenses.split(",") for k in range(len(texts))] == want
+    assert got[28].n_sentences == 3 and got[28].known.startswith("2:")
+
+
 # 10
 
 

@@ -65,12 +65,23 @@ def compiled(rules: dict[str, str], gap: int) -> tuple[dict[str, int], dict[str,
     return known, patterns
 
 
+def joined(clean: Column, known: dict[str, int]) -> Column:
+    """Normalised lines, with each known sentence that is spread over several lines on one line."""
+    out = clean
+    for sentence in known:
+        words = sentence.split(" ")
+        if len(words) > 1:
+            out = F.regexp_replace(out, r"(^|\n) *" + r"[ \n]+".join(words) + r" *(?=\n|$)", "$1" + sentence)
+    starts = "|".join(sorted({r"[ \n]+".join(s.split(" ")[:3]) for s in known}))
+    return F.when(clean.rlike(rf"(?:^|\n) *(?:{starts})"), out).otherwise(clean) if known else clean
+
+
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: dict[str, str] | None = None, gap: int = 2) -> DataFrame:
     """Find licence sentences and whole licence rules in each text.
 
     Returns (id, n_sentences, n_known, known: 'place:identifier' joined by spaces, licenses: names of
     the matched rules in their order, joined by commas). Sentences end at a line end or at one of .!?;:
-    before white space; letters A-Z are lowered and other characters than a-z0-9 become one space, empty
+    before white space, but a known sentence may be wrapped over lines, with comment marks before each; letters A-Z are lowered and other characters than a-z0-9 become one space, empty
     ones do not count. A rule matches where its sentences follow each other in order with at most ``gap``
     unknown ones between two. A null or empty text has no sentences and empty results; repeated rows
     repeat; other columns are not read. A projection: no shuffle, no Python.
@@ -79,7 +90,8 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: d
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     clean = F.regexp_replace(F.translate(F.regexp_replace(text, ENDS, "$1\n"), UPPER, LOWER), OTHER, " ")
     table: Column = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    rows = df.select(F.col(id_col), F.filter(F.transform(F.split(clean, "\n"), lambda s: F.trim(s)), lambda s: s != "").alias("__s"))
+    rows = df.select(F.col(id_col), clean.alias("__c")).select(id_col, joined(F.col("__c"), known).alias("__c"))
+    rows = rows.select(id_col, F.filter(F.transform(F.split("__c", "\n"), lambda s: F.trim(s)), lambda s: s != "").alias("__s"))
     rows = rows.select(id_col, F.size("__s").cast("long").alias("n_sentences"), F.transform("__s", lambda s: F.coalesce(F.try_element_at(table, s), F.lit(0))).alias("__i"))
     some = F.exists("__i", lambda x: x > 0)
     places = F.filter(F.transform("__i", lambda x, k: F.when(x > 0, F.concat_ws(":", k + 1, x))), lambda x: x.isNotNull())
