@@ -227,6 +227,27 @@ def test_cross_polytope(spark):
     assert crosspolytope.search(df.limit(0)).count() == 0
 
 
+def test_cross_polytope_fills_up(spark):
+    """Small tables, a rare length, and queries far from one tight cluster: k neighbours, or all there are."""
+    random_ = np.random.default_rng(4)
+    for n in (5, 12, 30):
+        data = random_.normal(size=(n, 64))
+        ids = np.arange(n) * 50
+        rows = [(int(i), [float(x) for x in v]) for i, v in zip(ids, data)] + [(10_000, [1.0] * 5), (10_001, [2.0] * 5)]
+        got = defaultdict(list)
+        for r in sorted(crosspolytope.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect(), key=lambda r: (r.query_id, r["rank"])):
+            got[r.query_id].append(r.vec_id)
+        want = crosspolytope.brute_force(ids, data, ids[::2])
+        assert all(len(got[q]) == min(10, n - 1) for q in want) and got[10_000] == [10_001]
+        if n <= 11:
+            assert all(got[q] == [i for _, i in v] for q, v in want.items())
+    center = random_.normal(size=64)
+    data = np.concatenate([random_.normal(size=(20, 64)), center + 0.01 * random_.normal(size=(2000, 64))])
+    ids = np.concatenate([np.arange(20) * 100, 1_000_001 + 100 * np.arange(2000)])
+    df = spark.createDataFrame([(int(i), [float(x) for x in v]) for i, v in zip(ids, data)], "vec_id long, embedding array<double>")
+    assert {r["count"] for r in crosspolytope.search(df).groupBy("query_id").count().collect()} == {10}
+
+
 def test_hadamard_turns_keep_length():
     tables = crosspolytope.Tables(24, 2, 1)
     x = np.eye(24, dtype=np.float32)

@@ -73,7 +73,7 @@ def search(df: DataFrame, queries: DataFrame | None = None, id_col: str = "vec_i
 
     ``queries`` are rows of the same columns (default: ids divisible by 100); a query's own id is no
     candidate. Returns (query_id, rank from 1, vec_id, score), nearest first, ties to the smaller id; fewer
-    rows where fewer candidates are found. Vectors that are null, zero, or hold null or non-finite
+    rows only where the table has fewer candidates: a query that its buckets give less is compared with all rows. Vectors that are null, zero, or hold null or non-finite
     components take no part; of rows that repeat id and vector one stays. Vectors of another length than
     the query's are no candidates. Other columns are not read; an empty table gives no rows.
 
@@ -93,22 +93,30 @@ def search(df: DataFrame, queries: DataFrame | None = None, id_col: str = "vec_i
     few = Window.partitionBy("v", "s").orderBy("id")
     salted = salted.withColumn("n", F.row_number().over(few)).where(F.col("n") <= k + 1)
     index = cut(salted.groupBy("v").agg(F.slice(ids, 1, k + 1).alias("ids")), "index")
-    sizes = [r[0] for r in asked.select(F.size("v").alias("d")).distinct().collect()]
-    out = []
-    for dim in sizes:
-        of = asked.where(F.size("v") == dim)
-        base = index.where(F.size("v") == dim)
-        count = of.count()
-        for number in range(-(-count // block)):
-            part = of if count <= block else of.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(-(-count // block))) == number)
-            out.append(cut(search_block(base, part.toPandas(), dim, k, tables, probes, index_rows, seed), "found"))
-    if not out:
+
+    def best(of: DataFrame, tables: int) -> list[DataFrame]:
+        """The ``k`` best of all tasks for the queries ``of``; with no tables, of all rows."""
+        out = []
+        for dim, count in sorted(tuple(r) for r in of.groupBy(F.size("v")).count().collect()):
+            same = of.where(F.size("v") == dim)
+            base = index.where(F.size("v") == dim)
+            for number in range(-(-count // block)):
+                part = same if count <= block else same.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(-(-count // block))) == number)
+                out.append(cut(search_block(base, part.toPandas(), dim, k, tables, probes, index_rows, seed), "found"))
+        if not out:
+            return []
+        found = out[0]
+        for more in out[1:]:
+            found = found.unionByName(more)
+        place = Window.partitionBy("query_id").orderBy("score", "vec_id")
+        return [cut(found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "best")]
+
+    first = best(asked, tables)
+    if not first:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    found = out[0]
-    for more in out[1:]:
-        found = found.unionByName(more)
-    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    enough = first[0].where(F.col("rank") == k).select("query_id")
+    rest = best(cut(asked.join(enough, F.col("id") == F.col("query_id"), "left_anti"), "short"), 0)
+    return first[0].join(enough, "query_id", "left_semi").unionByName(rest[0]) if rest else first[0]
 
 
 def search_block(index: DataFrame, asked, dim: int, k: int, tables: int, probes: int, index_rows: int, seed: int) -> DataFrame:
@@ -129,7 +137,7 @@ def search_block(index: DataFrame, asked, dim: int, k: int, tables: int, probes:
             lists.append((order, np.searchsorted(bucket[order], np.arange(2 * known.width + 1))))
         seen = np.zeros(len(data), bool)
         for q in range(len(query)):
-            seen[:] = False
+            seen[:] = not known.tables  # without tables all rows are candidates
             for (order, starts), probe in zip(lists, wanted):
                 for b in probe[q]:
                     seen[order[starts[b] : starts[b + 1]]] = True
