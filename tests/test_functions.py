@@ -27,6 +27,7 @@ def test_salary(spark, raw, low, high):
 
 def test_salary_without_digits_is_bad(spark):
     assert one(spark, "10 - 20 tr, thưởng", parse.salary).bad
+    assert tuple(one(spark, "1234567890123456789012 vnd - 5", parse.salary)) == (None, 5, False)
     strict = one(spark, "10 - 20 tr, thưởng", lambda x: parse.salary(x, True))
     assert (strict.low, strict.high, strict.bad) == (10_000_000, 20_000_000, False)
 
@@ -34,6 +35,7 @@ def test_salary_without_digits_is_bad(spark):
 @pytest.mark.parametrize(
     "raw, ts, naive",
     [("2026-06-14T10:00:00Z", datetime(2026, 6, 14, 10), False), ("2026-06-14T10:00:00+07:00", datetime(2026, 6, 14, 3), False), ("2026-06-14T10:00:00", datetime(2026, 6, 14, 10), True), ("2026-06-14", datetime(2026, 6, 14), True),
+     ("20260614", datetime(2026, 6, 14), True), ("20260614T1005", datetime(2026, 6, 14, 10, 5), True), ("20260614T100530Z", datetime(2026, 6, 14, 10, 5, 30), False),
      ("23/06/2026", datetime(2026, 6, 23), False), ("23-06-2026", datetime(2026, 6, 23), False), ("posted 2 hours ago", B - timedelta(hours=2), False), ("3 days ago", B - timedelta(days=3), False),
      ("2 weeks ago", B - timedelta(days=14), False), ("1 month ago", B - timedelta(days=30), False), ("3 ngày trước", B - timedelta(hours=3), False), ("2 tháng trước", B - timedelta(hours=2), False),
      ("1 tuần trước", B - timedelta(days=7), False), ("5 minutes ago", B - timedelta(hours=5), False), ("vừa xong", B, False), ("yesterday", None, False), ("", None, False)],

@@ -74,7 +74,7 @@ def salary(x: Column, strict: bool = False) -> Column:
 
     All runs of digits, points and commas count as numbers without their points and commas; the first is
     the low end, the last the high end. ``tr`` anywhere means millions, before dollars are looked for. A
-    run without a digit makes the row ``bad``: transformations drop it. ``strict`` corrects both: a run needs
+    run without a digit makes the row ``bad``: transformations drop it. Amounts beyond 64 bits are null. ``strict`` corrects both: a run needs
     a digit, and ``tr`` must follow a number.
     """
     digits = F.lit(r"([0-9.,]*[0-9][0-9.,]*)" if strict else r"([0-9.,]+)")
@@ -82,27 +82,36 @@ def salary(x: Column, strict: bool = False) -> Column:
     def of(text: Column) -> Column:
         millions = text.rlike(rf"[0-9][{SPACE}]*tr") if strict else has(text, "triệu", "tr")
         unit = F.when(millions, 1_000_000).when(has(text, "usd", "$"), VND_PER_USD).otherwise(1)
-        numbers = F.transform(F.regexp_extract_all(text, digits), lambda n: F.try_to_number(F.regexp_replace(n, "[.,]", ""), F.lit("9" * 18)).cast("double"))
+        numbers = F.transform(F.regexp_extract_all(text, digits), lambda n: F.nullif(F.regexp_replace(n, "[.,]", ""), F.lit("")).try_cast("double"))
         return let(numbers, lambda found: ends(found, unit, (text == "") | has(text, *NEGOTIABLE) | (F.size(found) == 0)))
 
     def ends(numbers: Column, unit: Column, none: Column) -> Column:
-        end = lambda k: F.when(~none, (F.try_element_at(numbers, F.lit(k)) * unit).cast("long"))
+        end = lambda k: F.when(~none, (F.try_element_at(numbers, F.lit(k)) * unit).try_cast("long"))
         return F.struct(end(1).alias("low"), end(-1).alias("high"), (~none & F.exists(numbers, lambda n: n.isNull())).alias("bad"))
 
     return let(strip(F.lower(F.coalesce(x, F.lit("")))), of)
 
 
 def tags(title: Column, description: Column, requirements: Column) -> Column:
-    """Skills named, ascending. Short ones need word edges on both sides, by which c++ and c# hardly ever match."""
+    """Skills named, ascending. Short ones need word edges on both sides, by which c++ and c# hardly ever match.
+
+    Two patterns look for any skill at all, one pass each over the text; only texts with a hit are looked
+    through skill by skill.
+    """
     word = r"\p{L}\p{N}_"
-    plain = F.array(*[F.lit(s) for s in SHORT_SKILLS if s.isalnum()])
+    quoted = lambda s: "".join("\\" + c if not c.isalnum() and c != " " else c for c in s)
+    right = lambda s: rf"(?![{word}])" if s[-1].isalnum() else rf"(?=[{word}])"  # noqa: E731  after a sign the edge is a letter or digit
+    firsts = "".join(sorted({s[0] for s in SHORT_SKILLS}))
+    short = rf"(?=[{firsts}])(?<![{word}])(?:" + "|".join(quoted(s) + right(s) for s in SHORT_SKILLS) + ")"
+    by_first: dict[str, list[str]] = {}
+    for s in LONG_SKILLS:
+        by_first.setdefault(s[0], []).append(quoted(s)[1 if s[0].isalnum() else 2 :])
+    any_long = "|".join(quoted(c) + "(?:" + "|".join(rest) + ")" for c, rest in sorted(by_first.items()))
 
     def of(text: Column) -> Column:
-        words = F.array_intersect(F.split(text, f"[^{word}]+"), plain)
-        # after a sign the right edge is a letter or digit
-        signed = [F.when(F.contains(text, F.lit(s)) & text.rlike(rf"(?<![{word}])" + "".join("\\" + c if not c.isalnum() else c for c in s) + rf"(?=[{word}])"), F.lit(s)) for s in SHORT_SKILLS if not s.isalnum()]
-        long = [F.when(F.contains(text, F.lit(s)), F.lit(s)) for s in LONG_SKILLS]
-        return F.array_sort(F.concat(words, F.array_compact(F.array(*signed, *long))))
+        found = F.array_distinct(F.regexp_extract_all(text, F.lit(short), F.lit(0)))
+        long = F.array_compact(F.array(*[F.when(F.contains(text, F.lit(s)), F.lit(s)) for s in LONG_SKILLS]))
+        return F.array_sort(F.concat(found, F.when(text.rlike(any_long), long).otherwise(F.array().cast("array<string>"))))
 
     return let(F.lower(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in (title, description, requirements)])), of)
 
@@ -115,6 +124,8 @@ def posted_at(x: Column, base: Column, strict: bool = False) -> Column:
     ``strict`` looks for whole unit words instead and knows minutes.
     """
     def of(text: Column) -> Column:
+        text = F.regexp_replace(text, r"^(\d{4})(\d{2})(\d{2})(?=$|[t ])", "$1-$2-$3")  # basic form
+        text = F.regexp_replace(F.regexp_replace(text, r"^(\d{4}-\d{2}-\d{2}[t ]\d{2})(\d{2})(?=\d{2}|$|z|[+-])", "$1:$2"), r"^(\d{4}-\d{2}-\d{2}[t ]\d{2}:\d{2})(\d{2})", "$1:$2")
         iso = r"^\d{4}-\d{2}-\d{2}([t ]\d{2}(:\d{2}(:\d{2}(\.\d{1,6})?)?)?)?(z|[+-]\d{2}(:?\d{2})?)?$"
         zoned = text.rlike(iso) & text.rlike(r"[t ].*(z|[+-]\d{2}(:?\d{2})?)$")
         stamp = F.upper(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"([t ]\d{2})(z|[+-].*)?$", "$1:00$2"), r"([+-]\d{2})$", "$1:00"), r"(\d)([+-]\d{2})(\d{2})$", "$1$2:$3"))

@@ -10,6 +10,8 @@ from ..functions import parse, text
 # Keywords that are always looked for.
 SEED_KEYWORDS = ["software engineer", "data engineer", "kế toán", "marketing", "nhân sự"]
 MOST = 3
+# Commands in the order in which they are looked for.
+COMMANDS = ["start", "subscribe", "unsubscribe", "list", "myjobs", "jobs", "search", "help"]
 
 
 def items(requests: DataFrame) -> DataFrame:
@@ -20,6 +22,36 @@ def items(requests: DataFrame) -> DataFrame:
     return rows.select("user_id", F.concat(F.lit("SUB#"), key).alias("sk"), "keyword_raw", key.alias("keyword_normalized"), parse.location(F.col("__p.location")).alias("location_filter"), F.lit(0).cast("long").alias("salary_min_filter"), F.lit(True).alias("is_active"))
 
 
+def commands(updates: DataFrame, text_col: str = "text") -> DataFrame:
+    """Adds command and argument to chat texts; blank texts drop out, and a text without a command is a search.
+
+    The first command that the trimmed text starts with counts; the argument is the text without any of
+    that command's occurrences, trimmed.
+    """
+    said = text.strip(F.coalesce(F.col(text_col), F.lit("")))
+    command = F.lit("search")
+    for word in reversed(COMMANDS):
+        command = F.when(said.startswith(f"/{word}"), "myjobs" if word == "jobs" else word).otherwise(command)
+    rows = updates.withColumn("__said", said).where("__said != ''").withColumn("command", command)
+    takes = F.col("command").isin("subscribe", "unsubscribe", "search")
+    rest = F.when(F.col("__said").startswith("/"), text.strip(F.replace("__said", F.concat(F.lit("/"), "command")))).otherwise(F.col("__said"))
+    return rows.withColumn("argument", F.when(takes, rest)).drop("__said")
+
+
+def users(updates: DataFrame, created_at: Column, *keep: str) -> DataFrame:
+    """User rows of people who start the bot: (user_id, username, first_name) with their profile key, and ``keep``."""
+    some = lambda c: F.coalesce(F.col(c), F.lit(""))
+    stamp = F.date_format(created_at, "yyyy-MM-dd'T'HH:mm:ssXXX")
+    return updates.select("user_id", F.lit("PROFILE").alias("sk"), some("username").alias("username"), some("first_name").alias("first_name"), F.lit(True).alias("is_active"), stamp.alias("created_at"), F.lit("").alias("last_notified_at"), *keep)
+
+
+def put_users(existing: DataFrame, new: DataFrame, order: list[Column]) -> DataFrame:
+    """User rows after the new ones are put: whole rows are replaced, the last in order counts."""
+    both = existing.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)), allowMissingColumns=True)
+    last = Window.partitionBy("user_id", "sk").orderBy(F.col("__new").desc(), *[c.desc() for c in order])
+    return both.withColumn("__k", F.row_number().over(last)).where("__k = 1").drop("__k", "__new")
+
+
 def accept(existing: DataFrame, asked: DataFrame, order: list[Column]) -> DataFrame:
     """New subscriptions that a user may have: not one there is already, and ``MOST`` in all, inactive ones too."""
     new = asked.join(existing.select("user_id", "sk"), ["user_id", "sk"], "left_anti")

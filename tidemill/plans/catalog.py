@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import identity, parse, text
 from ..operators import postings, search, subscriptions
-from ..sources import feeds
-from ..streaming import ingest
+from ..sources import boards, feeds
+from ..streaming import ingest, logs
 from . import adapters as A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,7 @@ def as_of() -> Column:
 
 QUERY_TEXTS = ["Data Engineer/Python | Hà Nội", "Kế toán, Đà Nẵng", "R", " | hcm", "C-level  manager", "thực tập|", "a b c"]
 PLACES = ["TP.HCM", "Hà Nội, Hồ Chí Minh", "Quận 12", "HN", "  Huế ", "", "Bình Dương"]
+CHATS = ["/start", " /subscribe Kế toán | Hà Nội ", "/unsubscribe ring", "/list", "/jobs", "/myjobs now", "/search data /search", "/help", "data engineer", "  ", "/unknown x", "/subscribe"]
 TITLES = ["Data Intern", "Thực tập sinh marketing", "TTS kế toán", "Fresher Java", "Mới tốt nghiệp", "Senior Python"]
 
 
@@ -119,12 +120,12 @@ def upsert_last_wins(spark, d):
 
 @query
 def anti_join_new(spark, d):
-    return postings.new_only(A.table(spark, d, "customer").select("c_custkey", "c_name"), A.table(spark, d, "orders").where("o_orderkey % 20 = 0").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")
+    return postings.new_only(A.table(spark, d, "customer").select("c_custkey", "c_name"), A.table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")
 
 
 @query
 def semi_join_existing(spark, d):
-    return postings.known_only(A.table(spark, d, "customer").select("c_custkey", "c_name"), A.table(spark, d, "orders").where("o_orderkey % 20 = 0").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")
+    return postings.known_only(A.table(spark, d, "customer").select("c_custkey", "c_name"), A.table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")
 
 
 @query
@@ -264,7 +265,7 @@ def match_variant_salary(spark, d):
 
 @query
 def new_since(spark, d):
-    return A.events(spark, d).where(F.col("ts") >= F.lit("2024-01-20").cast("timestamp")).select("job_id", "source")
+    return postings.new_since(A.events(spark, d), F.lit("2024-01-20").cast("timestamp"), "ts").select("job_id", "source")
 
 
 @query
@@ -345,35 +346,158 @@ def queue_messages(spark, d):
     return raw.groupBy("source").agg(F.count("*").alias("n")).unionByName(bad.agg(F.lit("(quarantine)").alias("source"), F.count("*").alias("n")))
 
 
+def _page(*parts: str | Column) -> Column:
+    return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+
+
+def _scan(spark: SparkSession, d: str, board: str, html: Column) -> DataFrame:
+    """Postings of pages made of parts, one or two cards a page."""
+    pages = A.table(spark, d, "part").select(html.alias("html"), F.lit(A.AS_OF).cast("timestamp").alias("scraped_at"))
+    return boards.scan(pages, board).select("title", "company", "location", "salary_raw", "description", "source_url", "posted_at_raw", "job_type_raw", "source")
+
+
+
+
+def _part() -> tuple[Column, ...]:
+    """Key, name, brand, type and size of parts."""
+    return F.col("p_partkey").cast("string"), F.col("p_name"), F.col("p_brand"), F.col("p_type"), F.col("p_size")
+
+
+def _seventh(whole: Column, broken: Column) -> Column:
+    """One part in seven gets a card that can't be read."""
+    return F.when(F.col("p_size") % 7 == 0, broken).otherwise(whole)
+
+
+@query
+def scan_careerlink(spark, d):
+    key, name, brand, kind, size = _part()
+    minute = F.when(size % 3 == 0, "soon").otherwise((F.col("p_partkey") * 60 + 1704067200).cast("string"))
+    link = _seventh(_page('<a class="job-link x" href="/j/', key, '">  ', name, " </a>"), F.lit('<a href="/j">none</a>'))
+    fields = _page('<a class="job-company">', brand, '</a><span class="job-location">Hà Nội</span><span class="job-salary"> ', size.cast("string"), ' triệu</span><i class="job-position">', kind, "</i>")
+    return _scan(spark, d, "careerlink", _page('<ul><li class="job-item">', link, fields, '<b class="cl-datetime" data-datetime="', minute, '"></b></li><li class="job-item"></li></ul>'))
+
+
+@query
+def scan_itviec(spark, d):
+    key, name, brand, kind, size = _part()
+    where = F.when(size % 2 == 0, "Hà Nội").otherwise("da nang")
+    how = F.when(size % 3 == 0, "Remote").when(size % 3 == 1, "At office").otherwise("Hybrid")
+    pay = F.when(size % 3 == 0, "").otherwise(_page("<p> Salary ", size.cast("string"), "</p>"))
+    head = _page('<div class="job-card" data-search--job-selection-job-slug-value="s-', key, '"><h3> ', name, '</h3><span class="small-text text-dark-grey">Posted   ', size.cast("string"), " hours\n ago</span>")
+    return _scan(spark, d, "itviec", _page(head, '<a href="/companies/x">', brand, "</a>", pay, '<a href="/x?Skill+tag">Java</a><a class="itag-light">', kind, "</a> <i>", where, "</i> <i>", how, "</i></div>"))
+
+
+@query
+def scan_careerviet(spark, d):
+    key, name, brand, kind, size = _part()
+    place = F.when(size % 2 == 0, "<ul><li>Hà Nội</li><li> Huế</li></ul>").otherwise(kind)
+    title = F.when(size % 2 == 0, _page('title="', name, '">x')).otherwise(_page(">", name))
+    link = _seventh(_page('<a class="job_link" href="https://careerviet.vn/vi/j-', key, '" ', title, "</a>"), F.lit("<a>none</a>"))
+    return _scan(spark, d, "careerviet", _page('<div class="job-item">', link, '<a class="company-name" title="', brand, '">?</a><div class="salary">Lương : ', size.cast("string"), ' Tr</div><div class="location">', place, "</div><time>05-01-2024</time></div>"))
+
+
+@query
+def scan_timviec365(spark, d):
+    key, name, brand, _, size = _part()
+    link = _page('<a href="/v-p', key, '.html">')
+    where = F.when(size % 2 == 0, "<i>Đà Nẵng</i>").otherwise("")
+    return _scan(spark, d, "timviec365", _page("<div><p>", link, name, '</a></p><a href="/acme-co3.html">', brand, "</a>", where, "<i>", size.cast("string"), " - ", (size + 2).cast("string"), ' triệu</i><i>05/01/2024</i></div><div>', link, 'again</a><a href="/z-p1.html">ab</a></div>'))
+
+
 @query
-def html_extract(spark, d):
-    html = F.col("html")
-    return A.table(spark, d, "pages").select("page_id", F.regexp_extract(html, r"(?s)<title>(.*?)</title>", 1).alias("title"), F.regexp_extract(html, r"(?s)<h1>(.*?)</h1>", 1).alias("h1"), F.regexp_extract(html, r'<a href="([^"]*)"', 1).alias("link"))
+def scan_vieclam24h(spark, d):
+    key, name, brand, kind, size = _part()
+    pay = F.when(size % 3 == 0, "Thỏa thuận").otherwise(_page(size.cast("string"), " triệu"))
+    place = F.when(size % 2 == 0, "text-se-neutral-80").otherwise("tooltip-content")
+    return _scan(spark, d, "vieclam24h", _page('<a data-job-id="', key, '" href="/j/', key, '"><h3>', name, "</h3><h3>", brand, "</h3><span>x<b>y</b></span><span>", pay, '</span><span class="', place, '">', kind, "</span></a>"))
+
+
+@query
+def scan_ybox(spark, d):
+    key, _, brand, kind, size = _part()
+    slug = _seventh(_page("s-", key), F.lit(""))
+    title = F.concat(F.when(size % 2 == 0, "[HCM] ").otherwise(""), "p_name", F.lit(" 5-6tr"))
+    return _scan(spark, d, "ybox", ads_page(title, kind, slug, brand))
 
 
 @query
 def href_dedup(spark, d):
-    links = A.table(spark, d, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r'<a href="([^"]*)"'))).alias("pos", "href"))
-    return postings.first_wins(links, [F.col("page_id"), F.col("href")], [F.col("pos")]).select("page_id", "href", F.col("pos").cast("long").alias("pos"))
+    """Posting links of a page, each address once, under its first place among all links."""
+    key, _, _, _, _ = _part()
+    link = lambda head: _page(f'<a href="{head}', key, '.html">x</a>')
+    pages = A.table(spark, d, "part").select("p_partkey", _page(link("/a-p"), link("/a-p"), '<a href="/about.html">y</a>', link("/b-p"), link("/a-p"), "<a>z</a>").alias("html"))
+    return boards.links(pages, "p_partkey").select("p_partkey", "pos", "href")
+
+
+@query
+def existing_ids(spark, d):
+    rows = A.parts(spark, d).withColumn("job_id", identity.posting_id(F.col("title_normalized"), F.col("company"), F.col("source")))
+    return postings.existing_ids(rows, "promo")
+
+
+@query
+def command_route(spark, d):
+    rows = spark.createDataFrame([(c,) for c in CHATS], "said string")
+    return subscriptions.commands(rows, "said").select("said", "command", "argument")
+
+
+@query
+def user_put(spark, d):
+    rows = A.events(spark, d).select(F.col("user_id").cast("string").alias("user_id"), F.col("source").alias("username"), F.lit(None).cast("string").alias("first_name"), "ts", "job_id")
+    made = subscriptions.users(rows, F.col("ts"), "job_id")
+    return subscriptions.put_users(made.where("job_id % 2 = 0"), made.where("job_id % 2 = 1"), [F.col("job_id")]).drop("job_id")
+
+
+@query
+def subscription_match(spark, d):
+    asked = spark.createDataFrame([("SUB#ring", "ring", "", 0), ("SUB#gear", "small gear", "Brand#1", 20_000), ("SUB#x", "bolt", "nowhere", 0)], "sk string, k string, place string, floor long")
+    return A.parts(spark, d).join(F.broadcast(asked), search.subscription_matches(F.col("k"), F.col("place"), F.col("floor"))).select("job_id", "sk")
+
+
+@query
+def search_message(spark, d):
+    return search.search_message(search.search(A.parts(spark, d), "ring", 50, "brand#1"), "ring", "brand#1")
+
+
+@query
+def single_match(spark, d):
+    rows = A.parts(spark, d).withColumn("location", F.when(F.col("job_id") % 2 == 0, "").otherwise(F.col("location")))
+    return rows.select("job_id", search.single_match(rows).alias("message"))
+
+
+@query
+def log_records(spark, d):
+    """Log records as JSON lines, read again and counted by level and source."""
+    rows = A.table(spark, d, "documents").select(
+        F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id")).alias("timestamp"), F.when(F.col("doc_id") % 2 == 0, "INFO").otherwise("ERROR").alias("level"), F.lit("etl").alias("logger"),
+        F.concat(F.lit("read \""), "source", F.lit("\"\n")).alias("message"), F.col("lang").alias("source"), F.col("n_chars").alias("job_count"),
+    )
+    found = logs.scan(logs.records(rows))
+    return found.groupBy("level", "source").agg(F.count("*").alias("n"), F.sum("job_count").alias("characters"))
 
 
-def ads_page(rows: DataFrame) -> DataFrame:
-    post = F.struct(F.struct(F.col("title"), F.col("summary"), F.col("slug"), F.struct(F.col("full").alias("fullName"), F.lit("user").alias("username")).alias("publisher"), F.lit("").alias("publishedAt"), F.lit("2024-01-05").alias("acceptedAt")).alias("post"))
-    body = F.to_json(F.struct(F.struct(F.array(post).alias("edges")).alias("Ads")))
-    return rows.select(F.concat(F.lit("<html><script>var a={};</script><script>window.INITIAL_ADS = "), body, F.lit(";</script></html>")).alias("html"))
+def ads_page(title: Column, summary: Column, slug: Column, full: Column) -> Column:
+    """Pages with embedded JSON of one post."""
+    publisher = F.struct(full.alias("fullName"), F.lit("user").alias("username"))
+    post = F.struct(F.struct(title.alias("title"), summary.alias("summary"), slug.alias("slug"), publisher.alias("publisher"), F.lit("").alias("publishedAt"), F.lit("2024-01-05").alias("acceptedAt")).alias("post"))
+    return _page("<html><script>var a={};</script><script>window.INITIAL_ADS = ", F.to_json(F.struct(F.struct(F.array(post).alias("edges")).alias("Ads"))), ";</script></html>")
 
 
 @query
 def embedded_json(spark, d):
+    key, _, brand, kind, size = _part()
     part = A.table(spark, d, "part")
     title = F.when(F.col("p_size") % 4 == 0, F.concat(F.lit("[HCM] "), "p_name")).when(F.col("p_size") % 4 == 1, F.concat(F.lit("Sài Gòn "), "p_name", F.lit(" 10-20tr"))).otherwise(F.concat("p_name", F.lit(" lương: 8 - 10 triệu")))
-    rows = part.select(title.alias("title"), F.col("p_type").alias("summary"), F.concat(F.lit("s-"), F.col("p_partkey").cast("string")).alias("slug"), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).otherwise("").alias("full"))
-    return feeds.ads(ads_page(rows), keyword=" Ring ").select("title", "company", "location", "salary_raw", "source_url", "posted_at_raw")
+    pages = part.select(ads_page(title, kind, _page("s-", key), F.when(size % 2 == 0, brand).otherwise("")).alias("html"))
+    return feeds.ads(pages, keyword=" Ring ").select("title", "company", "location", "salary_raw", "source_url", "posted_at_raw")
 
 
 @query
 def matcher_summary(spark, d):
-    return search.matcher_summary(_matched(spark, d))
+    """Digests of more than 20 matches stand for messages that were not taken."""
+    found = _matched(spark, d)
+    sent = found.groupBy("user_id", "keyword_raw").agg((F.count("*") <= 20).alias("ok"))
+    return search.matcher_summary(found, subscriptions.active(A.subscriptions(spark)), sent)
 
 
 @query

@@ -212,7 +212,18 @@ def scan(pages: DataFrame, board: str, html_col: str = "html") -> DataFrame:
     return pages.select(F.coalesce(F.col(html_col), F.lit("")), F.col("scraped_at").cast("timestamp")).mapInArrow(work, out)
 
 
-def contains_keyword(posts: DataFrame, keyword: str) -> DataFrame:
-    """Rows whose title or description holds the keyword."""
-    word = F.lower(F.trim(F.lit(keyword)))
-    return posts.where(F.contains(F.lower("title"), word) | F.contains(F.lower("description"), word))
+def links(pages: DataFrame, id_col: str, html_col: str = "html") -> DataFrame:
+    """(id, pos, href) of the posting links of each page, each address once; pos counts all of a page's addresses from 0."""
+    kind = pages.schema[id_col].dataType.simpleString()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for k, source in enumerate(batch.column(1).to_pylist()):
+                page = parse(source)
+                place = {id(a): n for n, a in enumerate(page.select("a", test=lambda e: "href" in e.attributes))}
+                rows += [(k, place[id(a)], a.get("href")) for a in unique_links(page)]
+            at, pos, href = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(pos, pa.int64()), pa.array(href, pa.string())], names=[id_col, "pos", "href"])
+
+    return pages.select(id_col, F.coalesce(F.col(html_col), F.lit(""))).mapInArrow(work, f"`{id_col}` {kind}, pos long, href string")

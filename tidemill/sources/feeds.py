@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -12,11 +13,24 @@ from ..functions import text
 from . import boards
 
 
+# The API's address, the place that is asked for, and its fields.
+API, API_PLACE = "https://jooble.org/api", "Vietnam"
+API_FIELDS = {"title": "title", "company": "company", "location": "location", "salary": "salary_raw", "snippet": "description", "type": "job_type_raw", "link": "source_url", "updated": "posted_at_raw"}
+
+
+def api_page(body: str) -> list[dict[str, str]]:
+    """Titled postings of one answer of the API; a body that is no JSON object is a ValueError."""
+    answer = json.loads(body)
+    if not isinstance(answer, dict):
+        raise ValueError("the answer is no object")
+    jobs = [{v: "" if job.get(k) is None else str(job[k]) for k, v in API_FIELDS.items()} for job in answer.get("jobs") or [] if isinstance(job, dict)]
+    return [job | {"title": job["title"].strip()} for job in jobs if job["title"].strip()]
+
+
 def api_postings(pages: DataFrame, body: str = "body", source: str = "jooble") -> DataFrame:
     """Rows of an API's pages (a JSON text each); untitled ones are left out."""
     job = F.explode(F.from_json(body, schema.API_PAGE)["jobs"]).alias("j")
-    named = {"title": "title", "company": "company", "location": "location", "salary": "salary_raw", "snippet": "description", "type": "job_type_raw", "link": "source_url", "updated": "posted_at_raw"}
-    rows = pages.select(job).select(*[F.coalesce(F.col(f"j.{k}"), F.lit("")).alias(v) for k, v in named.items()], F.lit(source).alias("source"))
+    rows = pages.select(job).select(*[F.coalesce(F.col(f"j.{k}"), F.lit("")).alias(v) for k, v in API_FIELDS.items()], F.lit(source).alias("source"))
     return rows.withColumn("title", text.strip(F.col("title"))).where("title != ''")
 
 
