@@ -92,26 +92,35 @@ def salary(x: Column, strict: bool = False) -> Column:
     return let(strip(F.lower(F.coalesce(x, F.lit("")))), of)
 
 
-def tags(title: Column, description: Column, requirements: Column) -> Column:
-    """Skills named, ascending. Short ones need word edges on both sides, by which c++ and c# hardly ever match.
+def gates(words: list[str]) -> tuple[list[tuple[str, list[str]]], list[str]]:
+    """Pieces that several of the words hold, each with those words, and the words left: texts without a piece needn't be asked for its words."""
+    left, out = list(words), []
+    while True:
+        held: dict[str, list[str]] = {}
+        for w in left:
+            for piece in {w[k : k + n] for n in (3, 4, 5, 6) for k in range(len(w) - n + 1)}:
+                held.setdefault(piece, []).append(w)
+        best = max(held, key=lambda g: (len(held[g]), len(g), g), default="")
+        if len(held.get(best, [])) < 2:
+            return out, left
+        out.append((best, held[best]))
+        left = [w for w in left if w not in held[best]]
 
-    Two patterns look for any skill at all, one pass each over the text; only texts with a hit are looked
-    through skill by skill.
-    """
+
+def tags(title: Column, description: Column, requirements: Column) -> Column:
+    """Skills named, ascending. Short ones need word edges on both sides, by which c++ and c# hardly ever match."""
     word = r"\p{L}\p{N}_"
-    quoted = lambda s: "".join("\\" + c if not c.isalnum() and c != " " else c for c in s)
+    quoted = lambda s: "".join("\\" + c if not c.isalnum() else c for c in s)
     right = lambda s: rf"(?![{word}])" if s[-1].isalnum() else rf"(?=[{word}])"  # noqa: E731  after a sign the edge is a letter or digit
     firsts = "".join(sorted({s[0] for s in SHORT_SKILLS}))
     short = rf"(?=[{firsts}])(?<![{word}])(?:" + "|".join(quoted(s) + right(s) for s in SHORT_SKILLS) + ")"
-    by_first: dict[str, list[str]] = {}
-    for s in LONG_SKILLS:
-        by_first.setdefault(s[0], []).append(quoted(s)[1 if s[0].isalnum() else 2 :])
-    any_long = "|".join(quoted(c) + "(?:" + "|".join(rest) + ")" for c, rest in sorted(by_first.items()))
+    gated, free = gates(LONG_SKILLS)
 
     def of(text: Column) -> Column:
+        hits = lambda words: F.array(*[F.when(F.contains(text, F.lit(s)), F.lit(s)) for s in words])
+        some = [F.when(F.contains(text, F.lit(g)), hits(words)).otherwise(F.array().cast("array<string>")) for g, words in gated]
         found = F.array_distinct(F.regexp_extract_all(text, F.lit(short), F.lit(0)))
-        long = F.array_compact(F.array(*[F.when(F.contains(text, F.lit(s)), F.lit(s)) for s in LONG_SKILLS]))
-        return F.array_sort(F.concat(found, F.when(text.rlike(any_long), long).otherwise(F.array().cast("array<string>"))))
+        return F.array_sort(F.concat(found, F.array_compact(F.concat(hits(free), *some))))
 
     return let(F.lower(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in (title, description, requirements)])), of)
 
