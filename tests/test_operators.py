@@ -2,6 +2,7 @@
 
 import http.server
 import json
+import re
 import threading
 import time
 import unicodedata
@@ -286,6 +287,53 @@ def test_api_scan_posts_retries_and_waits():
         PostingReader({"boards": "nowhere"})
 
 
+class Chat(http.server.BaseHTTPRequestHandler):
+    """Three updates; refuses messages with markup that hold "bad", and all that hold "never"."""
+
+    sent: list = []
+
+    def answer(self, code, body):
+        self.send_response(code)
+        self.end_headers()
+        self.wfile.write(json.dumps(body).encode())
+
+    def do_GET(self):  # noqa: N802
+        start = int(re.search(r"offset=(\d+)", self.path)[1])
+        updates = [{"update_id": 7, "message": {"chat": {"id": 5}, "text": "/start", "from": {"username": "u"}}}, {"update_id": 8}, {"update_id": 9, "message": {"chat": {"id": 6}, "text": "dev"}}]
+        self.answer(200, {"result": [u for u in updates if u["update_id"] >= start]})
+
+    def do_POST(self):  # noqa: N802
+        body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        Chat.sent.append((self.path, body["chat_id"], body["text"], body.get("parse_mode"), body.get("message_id")))
+        self.answer(400 if "never" in body["text"] or "bad" in body["text"] and "parse_mode" in body else 200, {})
+
+    def log_message(self, *_):
+        pass
+
+
+def test_chat_updates_and_messages(spark, tmp_path):
+    from tidemill.sources import chat
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Chat)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    api = f"http://127.0.0.1:{server.server_port}"
+    spark.dataSource.register(chat.ChatSource)
+    rows = spark.readStream.format("chat").option("token", "t").option("api", api).option("wait", "1").load()
+    out = rows.writeStream.format("parquet").option("path", f"file://{tmp_path}/updates").option("checkpointLocation", f"file://{tmp_path}/ck").start()
+    out.processAllAvailable()
+    out.stop()
+    assert [tuple(r) for r in spark.read.parquet(f"file://{tmp_path}/updates").orderBy("update_id").collect()] == [(7, "5", "/start", "u", ""), (8, None, "", "", ""), (9, "6", "dev", "", "")]
+    reader = chat.UpdateReader({"api": api, "token": "t", "wait": "1"})
+    assert reader.read({"offset": 8})[1] == {"offset": 10} and [r[0] for r in reader.readBetweenOffsets({"offset": 7}, {"offset": 9})] == [7, 8]
+    assert chat.UpdateReader({"api": "http://127.0.0.1:9", "tries": "1"}).read({"offset": 3})[1] == {"offset": 3}
+    messages = spark.createDataFrame([("1", r"a\.b", None), ("2", r"bad\!", None), ("3", "never", None), ("4", r"bad\-", 11), (None, "x", None), ("5", None, None)], "user_id string, message string, message_id long")
+    got = {r.user_id: r.ok for r in chat.send(messages, "t", api).collect()}
+    server.shutdown()
+    assert got == {"1": True, "2": True, "3": False, "4": True, None: False, "5": False}
+    send, edit = "/bott/sendMessage", "/bott/editMessageText"
+    assert {s for s in Chat.sent if s[1] != "3"} == {(send, "1", r"a\.b", "MarkdownV2", None), (send, "2", r"bad\!", "MarkdownV2", None), (send, "2", "bad!", None, None), (edit, "4", r"bad\-", "MarkdownV2", 11), (edit, "4", r"bad\-", None, 11)}
+
+
 def test_sources_are_published_one_by_one(spark, tmp_path):
     good = raw_rows(spark, [{"title": f"Dev {k}", "source": "ybox"} for k in range(25)] + [{"title": ""}])
     bad = good.select(F.raise_error(F.lit("down")).cast("string").alias("title"), *[c for c in good.columns if c != "title"])
@@ -321,7 +369,7 @@ def test_log_records(spark):
     assert second["level"] == "INFO" and second["exception"] == {"type": "X", "message": "y"} and "job_count" not in second
     mixed = lines.union(spark.createDataFrame([("{broken",), ("",)], "value string"))
     assert logs.scan(mixed).count() == 2 and logs.scan(mixed, level="ERROR").first().job_count == 3
-    assert logs.scan(mixed, since=F.lit(NOW)).count() == 1
+    assert logs.scan(mixed, since=F.lit(NOW)).count() == 1 and [r.level for r in logs.scan(mixed, limit=1).collect()] == ["INFO"]
 
 
 def test_messages_and_quarantine(spark):

@@ -81,6 +81,13 @@ def source_summary(raw: DataFrame) -> DataFrame:
     return out.withColumn("pass_rate", F.bround(F.coalesce(F.try_divide(F.col("valid") * 100.0, F.col("scraped")), F.lit(0.0)), 1))
 
 
+def etl_summary(raw: DataFrame) -> DataFrame:
+    """raw, transformed and loaded rows of a batch: all, those whose salary can be read, and those of their own title and company. One pass."""
+    good = ~parse.salary(F.col("salary_raw"))["bad"]
+    rows = filled(raw).select(good.alias("good"), identity.cross_source_id(text.composed(text.normalize_text(F.col("title"))), F.col("company")).alias("id"))
+    return rows.agg(F.count("*").alias("raw"), F.count_if("good").alias("transformed"), F.count_distinct(F.when(F.col("good"), F.col("id"))).alias("loaded"))
+
+
 def transform(raw: DataFrame, strict: bool = False) -> DataFrame:
     """Raw rows to postings, one projection; rows whose salary can't be read go. Titles come out in normal form C."""
     out = filled(raw).select("*", text.composed(text.normalize_text(F.col("title"))).alias("title_normalized"), parse.salary(F.col("salary_raw"), strict).alias("__salary"), parse.posted_at(F.col("posted_at_raw"), F.col("scraped_at"), strict).alias("__posted"))

@@ -78,6 +78,11 @@ def active(subs: DataFrame) -> DataFrame:
     return subs.where(F.coalesce("is_active", F.lit(True)) & F.col("sk").startswith("SUB#"))
 
 
+def of_user(subs: DataFrame, user: str) -> DataFrame:
+    """Subscriptions of one user, inactive ones too; the user's profile is none."""
+    return subs.where((F.col("user_id") == user) & F.col("sk").startswith("SUB#"))
+
+
 def listed(subs: DataFrame) -> DataFrame:
     """Active subscriptions with the number of all of the user's, inactive ones too."""
     mine = subs.where(F.col("sk").startswith("SUB#"))

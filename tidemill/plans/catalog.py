@@ -253,7 +253,7 @@ def match_subscriptions(spark, d):
 
 @query
 def myjobs_union_dedup(spark, d):
-    subs = A.subscriptions(spark).where("user_id = 'u1'")
+    subs = subscriptions.of_user(A.subscriptions(spark), "u1")
     return search.my_jobs(A.parts(spark, d), subs).select("job_id", "matched_keyword", "rank")
 
 
@@ -314,7 +314,7 @@ def digest_text(spark, d):
 
 @query
 def listing_text(spark, d):
-    found = search.interleave(search.my_jobs(A.parts(spark, d), A.subscriptions(spark).where("user_id = 'u1'")).drop("rank"), ts=F.col("posted_at"))
+    found = search.interleave(search.my_jobs(A.parts(spark, d), subscriptions.of_user(A.subscriptions(spark), "u1")).drop("rank"), ts=F.col("posted_at"))
     return search.listing(found)
 
 
@@ -502,9 +502,7 @@ def matcher_summary(spark, d):
 
 @query
 def etl_summary(spark, d):
-    raw = A.docs(spark, d)
-    jobs = postings.transform(raw)
-    return raw.agg(F.count("*").alias("raw")).crossJoin(jobs.agg(F.count("*").alias("transformed"))).crossJoin(postings.dedup(jobs, [F.col("scraped_at")]).agg(F.count("*").alias("loaded")))  # one row each
+    return postings.etl_summary(A.docs(spark, d))
 
 
 @query

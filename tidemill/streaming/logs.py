@@ -18,10 +18,17 @@ def records(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct(*[c.alias(n) for n, c in own.items()], *rest)).alias("value"))
 
 
-def scan(lines: DataFrame, value: str = "value", level: str | None = None, since: Column | None = None) -> DataFrame:
-    """Records of JSON lines, of one level and from a time on if asked; lines that are no records are left out."""
+def write(rows: DataFrame, path: str) -> None:
+    """Append the rows' records to a folder of text files."""
+    records(rows).write.mode("append").text(path)
+
+
+def scan(lines: DataFrame, value: str = "value", level: str | None = None, since: Column | None = None, limit: int | None = None) -> DataFrame:
+    """Records of JSON lines, of one level and from a time on if asked, the first ``limit`` of them; lines that are no records are left out."""
     out = lines.select(F.from_json(value, RECORD, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r")).select("r.*")
     out = out.where(F.col("_corrupt").isNull() & F.col("message").isNotNull()).drop("_corrupt").withColumn("timestamp", F.try_to_timestamp("timestamp"))
     if level is not None:
         out = out.where(F.col("level") == level)
-    return out if since is None else out.where(F.col("timestamp") >= since)
+    if since is not None:
+        out = out.where(F.col("timestamp") >= since)
+    return out if limit is None else out.orderBy("timestamp", "message").limit(limit)
