@@ -2,52 +2,125 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
-import gc
+import functools
 import tempfile
-import time
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder URI under the cluster's shared ``spark.checkpoint.dir``.
+    """A new folder URI under the cluster's shared ``spark.checkpoint.dir``; it goes when the application ends.
 
-    Only where that setting is unset (tests on one machine) a local temporary folder is taken.
+    Only where that setting is unset and all runs in one process (tests), a local temporary folder is taken.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tidemill-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _local_base()
+    base = f"{base.rstrip('/')}/tidemill-{spark.sparkContext.applicationId}"
+    if base not in _bases:
+        filesystem, path = hadoop(spark, base)
+        filesystem.mkdirs(path)
+        filesystem.deleteOnExit(path)
+        _bases.add(base)
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+_bases: set[str] = set()
+
+
+@functools.cache
+def _local_base() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="tidemill-")
+
+
+def hadoop(spark: SparkSession, uri: str):
+    """(file system, path) of a URI, of whatever store Spark knows."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def freed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs inside are gone with the end of each execution."""
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """``df`` as written to ``path`` and read again."""
+    with freed(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` to the shared folder and read it again: ends its lineage there, survives lost executors."""
-    spark = df.sparkSession
-    path = work_dir(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, work_dir(df.sparkSession, name))
+
+
+#: Rows of one key beyond which the key's row is sent to all tasks instead of the rows to one.
+HOT = 1_000_000
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files of plans that nothing refers to any more; it does so as objects are collected."""
-    for _ in range(3):  # references go in turns: Python's, the query's, the shuffle's
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+def join_unique(rows: DataFrame, table: DataFrame, key: str, count: str, hot: int | None = None) -> DataFrame:
+    """Inner join of rows with a table of one row a key, whose ``count`` says how many of the rows have it.
 
+    Rows of hot keys stay where they are: there are at most (all rows / hot) such keys, so their table
+    rows can go to all tasks. The rest meet by key. ``table`` should be a written one, as it is read twice.
+    """
+    often = table.where(F.col(count) > (HOT if hot is None else hot)).drop(count)
+    if often.isEmpty():
+        return rows.join(table.drop(count), key)
+    often = F.broadcast(often)
+    rest = rows.join(often.select(key), key, "left_anti")
+    return rows.join(often, key).unionByName(rest.join(table.drop(count), key))
+
+
+#: Rows of a few numbers that may go to all tasks.
+SMALL = 1_000_000
+
+
+def small(table: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row, to be sent to all tasks if it has at most ``SMALL`` rows; else it meets its partner by key."""
+    return F.broadcast(table) if table.count() <= SMALL else table
+
+
+class Scratch:
+    """Named tables of one job in a work folder."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder = spark, work_dir(spark, name)
 
-def drop_dir(uri: str) -> None:
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        return written(df, f"{self.folder}/{name}")
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            drop_dir(f"{self.folder}/{name}", self.spark)
+
+
+def drop_dir(uri: str, spark: SparkSession) -> None:
     """Remove a work folder that nothing reads any more."""
-    filesystem, path = pafs.FileSystem.from_uri(uri)
-    if filesystem.get_file_info(path).type != pafs.FileType.NotFound:
-        filesystem.delete_dir(path)
+    filesystem, path = hadoop(spark, uri)
+    filesystem.delete(path, True)
 
 
 def put_file(uri: str, data: bytes) -> None:
@@ -92,6 +165,17 @@ def byte_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return starts - starts[0], np.frombuffer(data, np.uint8)[starts[0] : starts[-1]]
 
 
+def portions(batches: Iterable[pa.RecordBatch], column: int, size: int = 4 << 20, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``, and of at most ``size`` bytes in a binary or string column, but for single rows."""
+    for batch in batches:
+        total, at = np.cumsum(pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)), 0
+        while at < batch.num_rows:
+            to = int(np.searchsorted(total, (total[at - 1] if at else 0) + size, side="right"))
+            to = min(max(to, at + 1), at + rows, batch.num_rows)
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def pieces(batches: Iterable[pa.RecordBatch], rows: int) -> Iterable[pa.RecordBatch]:
     """The same rows in batches of at most ``rows``."""
     for batch in batches:

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_column, cut, tidy
+from .common import byte_column, cut, join_unique, tidy
 from .components import components
 
 SEED = 42
@@ -89,13 +89,28 @@ def forest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return links
 
 
-def near_links(distinct: DataFrame, radius: int = 4, blocks: int = 6, split: int = 16384) -> DataFrame:
+#: Values that a key holds on average, beyond which more blocks make longer keys.
+OCCUPANCY = 8
+
+
+def blocks_for(count: int, radius: int) -> int:
+    """The fewest blocks, two more than differing bits at least, whose keys, by their bits, hold ``OCCUPANCY`` of so many values on average."""
+    blocks = radius + 2
+    while blocks < 64 and count > OCCUPANCY * 2 ** (64 * (blocks - radius) / blocks):
+        blocks += 1
+    return blocks
+
+
+def near_links(distinct: DataFrame, radius: int = 4, blocks: int | None = None, split: int = 16384) -> DataFrame:
     """(a, b): links that connect all ``fp`` values at most ``radius`` bits apart.
 
-    Keys: each choice of ``blocks - radius`` of the blocks, with the bits they hold. A key with more than
+    Keys: each choice of ``blocks - radius`` of the blocks, with the bits they hold. The number of values
+    says how many blocks there are (see ``blocks_for``), so that keys stay small as values grow in number. A key with more than
     ``split`` values is dealt into parts, and each two parts meet in a task of their own, so that no task
     holds an unbounded group and no pair is left out.
     """
+    values = distinct.count()
+    blocks = blocks_for(values, radius) if blocks is None else blocks
     if blocks <= radius:
         raise ValueError("more blocks than differing bits are needed")
     bounds = [round(64 * k / blocks) for k in range(blocks + 1)]
@@ -107,12 +122,12 @@ def near_links(distinct: DataFrame, radius: int = 4, blocks: int = 6, split: int
     rows = distinct.select("fp", F.inline(keys))
     large = rows.groupBy("t", "k").count().where(F.col("count") > split)
     if large.isEmpty():
-        dealt = rows.withColumn("p", F.lit(0)).withColumn("q", F.lit(0)).withColumn("own", F.lit(True))
+        dealt = rows.withColumn("p", F.lit(0)).withColumn("q", F.lit(0))
     else:
         large = large.select("t", "k", F.ceil(F.col("count") / split).cast("int").alias("n"))
         rows = rows.join(large, ["t", "k"], "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("c", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
         rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        dealt = rows.select("fp", "t", "k", F.least("c", "o").alias("p"), F.greatest("c", "o").alias("q"), (F.col("c") <= F.col("o")).alias("own"))
+        dealt = rows.select("fp", "t", "k", F.least("c", "o").alias("p"), F.greatest("c", "o").alias("q"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b for b in batches if b.num_rows]
@@ -139,11 +154,11 @@ def near_links(distinct: DataFrame, radius: int = 4, blocks: int = 6, split: int
             both = np.array(list(dict.fromkeys(out)), np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
-    places = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), distinct.count() * len(masks) // 2_000_000)
+    places = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), values * len(masks) // 2_000_000)
     return dealt.select("fp", "t", "k", "p", "q").repartition(places, "t", "k", "p", "q").mapInArrow(work, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, blocks: int = 6) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, blocks: int | None = None) -> DataFrame:
     """Fingerprint every whole text and give each row its group of near-duplicates.
 
     Returns (id, fingerprint: 16 lowercase hex digits, component_id: the smallest id reachable over
@@ -153,11 +168,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     once, as one fingerprint: only distinct fingerprints are compared.
     """
     marked = cut(fingerprints(df, id_col, text_col, words), "fingerprints")
-    classes = cut(marked.groupBy("fp").agg(F.min(id_col).alias("first")), "classes")
+    classes = cut(marked.groupBy("fp").agg(F.min(id_col).alias("first"), F.count("*").alias("__n")), "classes")
     groups = components(near_links(classes.select("fp"), radius, blocks))
     named = groups.join(classes, groups.node == classes.fp).select("fp", "root", "first")
     roots = named.groupBy("root").agg(F.min("first").alias("component"))
-    linked = cut(named.join(roots, "root").select("fp", "component"), "linked")
-    merged = classes.join(linked, "fp", "left").select(F.col("fp").alias("__fp"), F.coalesce("component", "first").alias("component_id"))
-    out = marked.join(merged, marked.fp == F.col("__fp"))
+    linked = named.join(roots, "root").select("fp", "component")
+    merged = cut(classes.join(linked, "fp", "left").select("fp", "__n", F.coalesce("component", "first").alias("component_id")), "linked")
+    out = join_unique(marked, merged, "fp", "__n")
     return out.select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import suffixes
-from .common import byte_column, cut, drop_dir, free_shuffles, get_file, make_dir, put_file, tidy, work_dir
+from .common import byte_column, cut, drop_dir, get_file, make_dir, put_file, tidy, work_dir
 
 NONE = -(1 << 63)
 CHUNK = 1 << 18
@@ -184,7 +184,7 @@ def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, list[di
 
 
 def per_key(df: DataFrame, key: str, places: int, work: Callable, schema: str, *order: str) -> DataFrame:
-    """Apply ``work(key, rows)``, which yields record batches, where all rows of a key meet."""
+    """Apply ``work(key, rows)``, which yields record batches, where all rows of a key meet; a numbered part has its own task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for value, rows in grouped(batches):
@@ -192,7 +192,9 @@ def per_key(df: DataFrame, key: str, places: int, work: Callable, schema: str, *
         tidy()
 
     columns = [key, *[c for c in df.columns if c != key]]
-    return df.select(*columns).repartition(places, key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+    rows = df.select(*columns)
+    dealt = rows.repartitionById(places, F.col(key)) if key == "part" else rows.repartition(places, key)
+    return dealt.sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
 def batch(**columns) -> pa.RecordBatch:
@@ -464,9 +466,14 @@ class Job:
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
-def splits(found: DataFrame, width: int, ranges: int) -> np.ndarray:
-    """First strings of all ranges but the first, from the blocks' samples (a few strings a range in all)."""
-    rows = found.select("sample").toLocalIterator()
+#: Sample strings that the driver gets at most.
+SAMPLED = 400_000
+
+
+def splits(found: DataFrame, width: int, ranges: int, samples: int, count: int) -> np.ndarray:
+    """First strings of all ranges but the first, from samples of the blocks; of some of them if there are very many blocks."""
+    some = found if count * samples <= SAMPLED else found.where(F.pmod(F.xxhash64("block"), F.lit(-(-count * samples // SAMPLED))) == 0)
+    rows = some.select("sample").collect()
     some = [np.frombuffer(r[0], np.uint8).reshape(-1, width) for r in rows if r[0]]
     if not some:
         return np.zeros((0, width), np.uint8)
@@ -477,7 +484,12 @@ def splits(found: DataFrame, width: int, ranges: int) -> np.ndarray:
     return picked[np.concatenate(([True], (picked[1:] != picked[:-1]).any(1)))] if len(picked) else picked
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, keep: list[str] | None = None, digests: bool = False, characters: bool = False, block_bytes: int = 8 << 20, range_strings: int = 250_000) -> DataFrame:
+def block_size(total: int) -> int:
+    """Bytes of a block: 8 MB, growing with the root of the input beyond 64 GB, up to 64 MB, which a task can hold."""
+    return int(min(64 << 20, (8 << 20) * max(1.0, (total / (64 << 30)) ** 0.5)))
+
+
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, keep: list[str] | None = None, digests: bool = False, characters: bool = False, block_bytes: int | None = None, range_strings: int = 250_000) -> DataFrame:
     """Remove each byte covered by a ``length``-byte string that also starts in a document with a smaller id.
 
     Returns (id, [``keep`` columns], n_bytes, n_removed, n_spans, kept binary), or with ``digests``
@@ -488,13 +500,15 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
     not read, and their names may be any; an empty table gives no rows. Ids are whole numbers.
 
     No size is assumed for a group: a block sends each distinct string once, however often it occurs, and
-    ranges are cut so that they hold about ``range_strings`` strings. The driver gets the counts, and a few
-    sample strings a range.
+    ranges are cut so that they hold about ``range_strings`` strings. The driver gets the counts, and at most
+    ``SAMPLED`` sample strings. ``block_bytes`` follows from the input's size (see ``block_size``).
     """
     spark = df.sparkSession
     keep = keep or []
     kind = df.schema[id_col].dataType.simpleString()
     folder = work_dir(spark, "suffixes")
+    if block_bytes is None:
+        block_bytes = block_size(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
     blocks = write_blocks(df, id_col, text_col, keep, folder, block_bytes)
     count, size = blocks.agg(F.count("*"), F.sum("bytes")).first()
     count, least = max(1, count), int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -512,7 +526,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
         """What each block of ``found`` learns of its strings."""
         total = found.agg(F.sum("count")).first()[0] or 0
         ranges = max(1, min(-(-total // 10_000), max(least, total // range_strings)))
-        cuts = splits(found, width, ranges)
+        cuts = splits(found, width, ranges, samples, count)
         runs = found.select("block").repartition(places, "block").mapInArrow(partial(job.send_runs, name, width, cuts), "part int, block string, lengths binary, tails binary, ids binary")
         return per_key(runs, "part", ranges, partial(job.merge, width), SIDE, "block").unionByName(marks(found, -1))
 
@@ -523,14 +537,11 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
 
     samples = max(4, -(-40 * max(least, 64) // count))
     first = filtered(blocks.select("block").repartition(places, "block").mapInArrow(job.send_hashes, hashed), partial(job.anchors, samples), "anchors")
-    free_shuffles(spark)
     second = filtered(per_key(sort(first, "anchor", shape.width), "block", places, job.open_strings, hashed, "part"), partial(job.strings, samples), "strings")
-    drop_dir(f"{folder}/anchor")  # all they told is in the strings
-    drop_dir(f"{folder}/open")
-    free_shuffles(spark)
+    drop_dir(f"{folder}/anchor", spark)  # all they told is in the strings
+    drop_dir(f"{folder}/open", spark)
     last = sort(second, "string", length).unionByName(marks(first, -2)).unionByName(marks(blocks, -3))
     kept_kinds = "".join(f"__keep{k} {df.schema[c].dataType.simpleString()}, " for k, c in enumerate(keep))
     schema = f"__id long, {kept_kinds}n_bytes long, n_removed long, n_spans long, kept {'string' if digests else 'binary'}"
-    free_shuffles(spark)
     out = per_key(last, "block", places, partial(job.finish, not digests), schema, "part")
     return out.select(F.col("__id").cast(kind).alias(id_col), *[F.col(f"__keep{k}").alias(c) for k, c in enumerate(keep)], "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256" if digests else "kept"))

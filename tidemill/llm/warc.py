@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import json
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -21,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, drop_dir, make_dir, work_dir
+from .common import cut, drop_dir, join_unique, make_dir, work_dir
 
 DATE = "2024-01-01T00:00:00Z"
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space of RFC 4122
@@ -93,17 +92,21 @@ def write(df: DataFrame, folder: str, key_col: str = "page_id", url_col: str = "
     Of records whose payloads are equal and have at least ``min_bytes`` bytes, that with the largest key
     is the response and the others are revisits of it; smaller payloads are all responses. A null payload
     is an empty one; a null key is smaller than any other and stays null; rows that repeat key and payload
-    give one response or revisit first and then revisits; a null URL leaves the header out. Other
+    give one response or revisit first and then revisits; a null URL leaves the header out. A folder that
+    has a manifest already is refused: archives are written once, under a folder of their own. Other
     columns are not read. An empty table gives no file and an empty manifest. The same rows give the same
     records in the same order; payloads cross the network once, in the range sort.
     """
     spark = df.sparkSession
+    filesystem, path = pafs.FileSystem.from_uri(folder)
+    if filesystem.get_file_info(f"{path}/_manifest").type != pafs.FileType.NotFound:
+        raise FileExistsError(f"{folder} holds an archive already")
     rows = df.select(F.col(key_col).cast("long").alias("k"), F.col(url_col).cast("string").alias("u"), F.coalesce(F.col(payload_col).cast("string").cast("binary"), F.lit(b"")).alias("b"))
     rows = rows.withColumn("d", F.sha1("b"))
     known = cut(rows.where(F.octet_length("b") >= min_bytes).select("k", "d"), "digests")
-    many = known.groupBy("d").agg(F.max("k").alias("o"), F.count("*").alias("n")).where("n > 1").select("d", "o")
+    many = cut(known.groupBy("d").agg(F.max("k").alias("o"), F.count("*").alias("n")).where("n > 1"), "shared")
     # A mark for each key of a shared payload meets its record in the range sort, instead of a join that moves payloads.
-    marks = known.join(many, "d").select("k", "d", "o").distinct()
+    marks = join_unique(known, many, "d", "n").select("k", "d", "o").distinct()
     empty = F.lit(None)
     union = rows.select("k", "d", F.lit(1).alias("z"), "u", "b", empty.cast("long").alias("o")).unionByName(marks.select("k", "d", F.lit(0).alias("z"), empty.cast("string").alias("u"), empty.cast("binary").alias("b"), "o"))
     places = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -147,7 +150,7 @@ def commit(spark: SparkSession, staged: DataFrame, folder: str) -> DataFrame:
 
     names = ["file", "records", "bytes", "sha256"]
     staged.mapInArrow(work, staged.schema).select(*names).write.parquet(f"{folder}/_manifest")
-    drop_dir(f"{folder}/_temporary")
+    drop_dir(f"{folder}/_temporary", spark)
     return spark.read.parquet(f"{folder}/_manifest")
 
 
@@ -230,9 +233,3 @@ owned AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS o FROM hashed)
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, array_to_string(flatten({part}), '') AS payload_digest,
        CASE WHEN page_id = o THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = o THEN NULL ELSE o END AS refers_to
 FROM owned"""
-
-
-def manifest_json(manifest: DataFrame) -> Iterator[str]:
-    """The manifest's lines as JSON, in the order of the files."""
-    for row in manifest.orderBy("file").toLocalIterator():
-        yield json.dumps(row.asDict())
