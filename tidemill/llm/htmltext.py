@@ -20,18 +20,25 @@ from pyspark.sql import functions as F
 
 from . import boosting
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][\w:-]*)([^>]*)>", re.S)
+# A tag in three readings, tried in turn: quotes hold no "<"; quoted values hold any character; quotes mean nothing. None looks beyond
+# a "<" outside quotes, or beyond the quote that ends a value, so that a page is read in one go however broken its tags are.
+TAG = re.compile(r"<(/?)([a-zA-Z][\w:-]*+)((?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+)>")
+QUOTED = re.compile(r"<(/?)([a-zA-Z][\w:-]*+)((?:[^<>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')(?=[\s/>])|=)*+)>")
+LOOSE = re.compile(r"<(/?)([a-zA-Z][\w:-]*+)([^<>]*+)>")
 ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 MARKS = re.compile(r"[.,;:!?]")
 # Element names of HTML by kind.
-RAW = {"script", "style", "textarea", "title", "iframe", "noscript", "template", "xmp", "noembed"}
-SKIPPED = RAW | {"head", "svg", "math", "select", "button", "object", "canvas", "audio", "video", "datalist", "map"}
+RAW = {"script", "style", "textarea", "title", "iframe", "template", "xmp", "noembed"}
+CONTROL = {"button", "select", "datalist"}
+EMBEDDED = {"svg", "object", "canvas", "audio", "video", "noscript", "map"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}}
+#: What no control can hold: there one that was never closed ends.
+APART = re.compile(r"</(button|select|datalist)\b[^<>]*>|</(?:" + "|".join(sorted(BLOCK)) + r")\b|<(?:p|h[1-6]|article|section|main|ul|ol|dl|table|blockquote|form|header|footer|nav|aside)\b", re.I)
 SCOPE = {"ul", "ol", "menu", "dl", "table", "body", "html", "div", "article", "section", "main", "aside", "nav"}
-KINDS = [{"nav", "menu"}, {"header", "hgroup"}, {"footer"}, {"aside", "dialog"}, {"form", "fieldset", "legend"}, {"article", "main"}, {"h1", "h2", "h3", "h4", "h5", "h6"}, {"p"}, {"ul", "ol", "li", "dl", "dt", "dd", "dir"}, {"table", "tbody", "thead", "tfoot", "tr", "td", "th", "caption"}, {"div", "section", "center"}, {"html", "body"}, {"pre", "blockquote", "figure", "figcaption", "details", "summary", "address"}]
+KINDS = [{"nav", "menu"}, {"header", "hgroup"}, {"footer"}, {"aside", "dialog"}, {"form", "fieldset", "legend"}, {"article", "main"}, {"h1", "h2", "h3", "h4", "h5", "h6"}, {"p"}, {"ul", "ol", "li", "dl", "dt", "dd", "dir"}, {"table", "tbody", "thead", "tfoot", "tr", "td", "th", "caption"}, {"div", "section", "center"}, {"html", "body"}, {"pre", "blockquote", "figure", "figcaption", "details", "summary", "address"}, EMBEDDED]
 WORDS = [
     {"ad", "ads", "advert", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner"},
     {"nav", "navigation", "navbar", "menu", "breadcrumb", "breadcrumbs", "toolbar", "pagination", "pager"},
@@ -49,7 +56,12 @@ BITS = len(KINDS) + len(WORDS) + 1
 
 
 class Page:
-    """Nodes in page order: elements, and leaves that hold a run of text (``text`` is None for elements)."""
+    """Nodes in page order: elements, and leaves that hold a run of text (``text`` is None for elements).
+
+    Read once from start to end. Embedded elements (pictures, players, what scripts replace) are nodes as
+    well, inside a run that goes on behind them. A start tag that no end tag follows, of an element that
+    isn't a block, changes nothing; an end tag without an open element neither.
+    """
 
     __slots__ = ("parent", "own", "above", "depth", "text", "chars", "linked", "end")
 
@@ -58,10 +70,12 @@ class Page:
         self.text: list[str | None] = [None]
         self.chars, self.linked, self.end = [0], [0], [0]
         stack: list[tuple[str, int]] = [("", 0)]
+        places: dict[str, list[int]] = {}  # of open elements in the stack, by name
+        saved: list[tuple[list[str], list[str], bool]] = []
         run: list[str] = []
         links: list[str] = []
-        in_link = False
-        at, size = 0, len(source)
+        in_link, head, lower = False, False, None
+        last = {}  # places of the last end tags
 
         def flush() -> None:
             text = "".join(run)
@@ -75,58 +89,95 @@ class Page:
             links.clear()
 
         def close(to: int) -> None:
+            nonlocal run, links, in_link
             while len(stack) > to:
-                self.end[stack.pop()[1]] = len(self.parent)
+                flush()
+                name, node = stack.pop()
+                places[name].pop()
+                self.end[node] = len(self.parent)
+                if name in EMBEDDED:
+                    run, links, in_link = saved.pop()
+
+        def open_(name: str, attributes: str) -> None:
+            places.setdefault(name, []).append(len(stack))
+            stack.append((name, self.add(stack[-1][1], KIND.get(name, 0) | (bits(attributes) if attributes.strip() else 0), None, 0)))
 
-        while at < size:
-            found = TAG.search(source, at)
-            if found is None:
+        def ended(name: str) -> bool:
+            """Whether an end tag of that name follows."""
+            nonlocal lower
+            if name not in last:
+                lower = source.lower() if lower is None else lower
+                last[name] = lower.rfind(f"</{name}") if len(lower) == size else size
+            return last[name] >= at
+
+        def top(names: set[str]) -> int:
+            return max((places[n][-1] for n in names if places.get(n)), default=0)
+
+        at, size, final = 0, len(source), source.rfind(">")
+        while True:
+            tag = source.find("<", at, final + 1)
+            if tag < 0:
                 break
-            if found.start() > at:
-                run.append(source[at : found.start()])
+            if tag > at:
+                run.append(source[at:tag])
                 if in_link:
                     links.append(run[-1])
-            at = found.end()
-            ends, name, attributes = (found[1], found[2], found[3]) if found[2] else (found[4], found[5], found[6])
-            if not name:
+            at = tag
+            mark = source[at + 1]
+            if mark in "!?":
+                if source.startswith("<!--", at):
+                    stop = source.find("-->", at + 4)
+                    at = stop + 3 if stop >= 0 else size
+                else:
+                    at = source.find(">", at) + 1
+                continue
+            found = (TAG.match(source, at) or QUOTED.match(source, at) or LOOSE.match(source, at)) if mark == "/" or mark.isascii() and mark.isalpha() else None
+            if found is None:
+                run.append("<")
+                at += 1
                 continue
-            name = name.lower()
+            at = found.end()
+            ends, name, attributes = found[1], found[2].lower(), found[3]
             if ends:
                 if name == "a":
                     in_link = False
-                elif name in BLOCK:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k][0] == name:
-                            flush()
-                            close(k)
-                            in_link = False
-                            break
+                elif places.get(name):
+                    close(places[name][-1])
+                    in_link = in_link and name in EMBEDDED
                 continue
             if name in VOID:
                 if name in ("br", "hr"):
                     run.append(" ")
-                continue
-            if name in SKIPPED:
-                at = skip(source, at, name, attributes)
-                continue
-            if name == "a":
+            elif name in RAW:
+                stop = closing(name).search(source, at)
+                at = stop.end() if stop else size
+            elif name == "head":
+                stop = None if head else HEAD_ENDS.search(source, at)  # its end tag may be left out
+                at, head = stop.end() if stop else at, True
+            elif name in CONTROL:
+                if not attributes.endswith("/") and ended(name):
+                    stop = APART.search(source, at)
+                    at = size if stop is None else stop.end() if stop[1] else stop.start()
+            elif name in EMBEDDED:
+                if not attributes.endswith("/") and ended(name):
+                    saved.append((run, links, in_link))
+                    run, links = [], []
+                    open_(name, attributes)
+            elif name == "a":
                 in_link = True
-            if name not in BLOCK:
-                continue
-            flush()
-            if stack[-1][0] == "p":
-                close(len(stack) - 1)
-            if name in CLOSES:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in CLOSES[name]:
+            elif name in BLOCK:
+                flush()
+                if stack[-1][0] == "p":
+                    close(len(stack) - 1)
+                if name in CLOSES:
+                    while (k := top(CLOSES[name])) > top(SCOPE):
                         close(k)
-                    elif stack[k][0] in SCOPE:
-                        break
-            stack.append((name, self.add(stack[-1][1], KIND.get(name, 0) | (bits(attributes) if attributes.strip() else 0), None, 0)))
+                open_(name, attributes)
         if at < size:
             run.append(source[at:])
+        close(1)
         flush()
-        close(0)
+        self.end[0] = len(self.parent)
 
     def add(self, parent: int, own: int, text: str | None, linked: int) -> int:
         node = len(self.parent)
@@ -141,27 +192,12 @@ class Page:
         return node
 
 
+HEAD_ENDS = re.compile(r"</head\b[^<>]*>|(?=<body\b)", re.I)
+
+
 @lru_cache(maxsize=None)
 def closing(name: str) -> re.Pattern:
-    return re.compile(rf"</{name}\b[^>]*>|<{name}\b", re.I)
-
-
-def skip(source: str, at: int, name: str, attributes: str) -> int:
-    """The place after an element without text of its own; raw elements end at their first end tag."""
-    if attributes.endswith("/") and name not in RAW and name != "head":
-        return at
-    if name == "head":  # its end tag may be left out
-        found = re.compile(r"</head\b[^>]*>|(?=<body\b)", re.I).search(source, at)
-        return found.end() if found else at
-    deep = 1
-    for found in closing(name).finditer(source, at):
-        if found[0][1] == "/":
-            deep -= 1
-            if not deep or name in RAW:
-                return found.end()
-        elif name not in RAW:
-            deep += 1
-    return len(source)
+    return re.compile(rf"</{name}\b[^<>]*>", re.I)
 
 
 def bits(attributes: str) -> int:
@@ -276,9 +312,15 @@ class Generator:
             lambda: self.block("aside", "", self.pick(self.links(2, 8), text())),
             lambda: self.block("div", self.pick("cookie-notice", "consent", "newsletter signup", "alert notice", "popup modal"), text()),
             lambda: self.block(self.pick("section", "div", "ol"), self.pick("comments", "comment-list", "replies", "discussion"), "".join(self.block("div", "comment", f"<p>{self.text(3, 60)}</p>") for _ in range(int(self.r.integers(1, 5))))),
+            lambda: self.embedded(),
             lambda: self.block("form", self.pick("", "search", "login"), f"<label>{self.text(1, 3, False)}</label><input><p>{self.text(2, 9)}</p>"),
         )()
 
+    def embedded(self) -> str:
+        tag = self.pick(*sorted(EMBEDDED))
+        inner = self.text(1, 12, False) if self.chance(0.6) else f"<p>{self.text(2, 12)}</p>"
+        return f"<{tag}>{'<title>' + inner + '</title>' + f'<text>{inner}</text>' if tag == 'svg' else inner}</{tag}>"
+
     def page(self) -> tuple[str, list[str]]:
         main: list[str] = []
 
@@ -286,6 +328,8 @@ class Generator:
             text = self.text(*self.pick((1, 3), (low, 15), (8, high), (20, 120)))
             main.append(text)
             shown = self.pick(text, text, f"<b>{text}</b>", f"<b>{text}<br>") if wrap == "p" else text
+            if self.chance(0.08):
+                shown = f"{shown}{self.embedded()}" if self.chance(0.5) else f"{self.embedded()}{shown}"
             return f"<{wrap}>{shown}" + ("" if wrap == "p" and self.chance(0.2) else f"</{wrap}>")
 
         parts = []
@@ -340,9 +384,13 @@ def model(pages: int = 1200, seed: int = 5) -> boosting.Trees:
 
 def extract_all(sources: list[str], trees: boosting.Trees) -> list[str]:
     """Main texts of some pages: blocks joined by empty lines."""
-    out = []
-    for at in range(0, len(sources), 200):
-        pages = [Page(s) for s in sources[at : at + 200]]
+    out, at = [], 0
+    while at < len(sources):
+        pages, nodes = [], 0
+        while at < len(sources) and nodes < 40_000:  # what is held at once
+            pages.append(Page(sources[at]))
+            nodes += len(pages[-1].parent)
+            at += 1
         logit = trees.logit(features(pages)).tolist()
         for page in pages:
             n = len(page.parent)
