@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from .common import tidy
@@ -128,11 +128,12 @@ def held_out(column: str) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 4000, **options) -> Model:
-    """Train on at most ``per_class`` labelled documents of each class, never on held-out ones.
+def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 4000, class_bytes: int = 64 << 20, **options) -> Model:
+    """Train on at most ``per_class`` labelled documents and ``class_bytes`` bytes of each class, never on held-out ones.
 
-    ``per_class`` bounds the sample (the rows with the smallest hashes of their ids). Labels that are null,
-    other than 0 and 1, or differ between rows of one id are left out, as are ids without a text.
+    Both bound the sample, which the driver holds: the rows with the smallest hashes of their ids, passing
+    over those that would go beyond the bytes. Labels that are null, other than 0 and 1, or differ between
+    rows of one id are left out, as are ids without a text; of texts of one id the least in order counts.
     """
     known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).where("__id is not null and __y in (0, 1)")
     known = known.groupBy("__id").agg(F.min("__y").alias("__y"), F.max("__y").alias("__z")).where("__y = __z").where(~held_out("__id"))
@@ -142,8 +143,22 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     if not ids:
         return Model(np.zeros(1 << options.get("bits", 18)), 0.0, options.get("bits", 18), options.get("grams", (3, 4)))
     kind = labels.schema[id_col].dataType.simpleString()
-    few = df.sparkSession.createDataFrame(ids, f"__id {kind}, __y int")  # 2 * per_class short rows at most
-    texts = df.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__t")).join(F.broadcast(few), "__id").groupBy("__id", "__y").agg(F.min("__t").alias("__t")).collect()
+    of = df.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__t"))
+
+    def texts_of(some: list[tuple], *columns: Column) -> list[Row]:
+        few = df.sparkSession.createDataFrame(some, f"__id {kind}, __y int")  # 2 * per_class short rows at most
+        return of.join(F.broadcast(few), "__id").groupBy("__id", "__y").agg(F.min("__t").alias("__t")).select("__id", "__y", *columns).collect()
+
+    sizes = {r[0]: r[2] for r in texts_of(ids, F.octet_length("__t"))}
+    left, kept = [class_bytes, class_bytes], []
+    for i, y in ids:
+        size = sizes.get(i) or 0
+        if i in sizes and size <= left[y]:
+            left[y] -= size
+            kept.append((i, y))
+    if not kept:
+        return Model(np.zeros(1 << options.get("bits", 18)), 0.0, options.get("bits", 18), options.get("grams", (3, 4)))
+    texts = texts_of(kept, F.col("__t"))
     texts.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0]))
     return train([r[2] or "" for r in texts], [r[1] for r in texts], **options)
 
