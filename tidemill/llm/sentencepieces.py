@@ -25,6 +25,8 @@ from .common import tidy
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+#: Texts that normalizers, prefixes and model types treat in different ways.
+PROBES = ["a", " a", "a  b ", "  ", "\t\n", "ﬁ①Ａ", "e\u0301 é", "\u3000x\xa0y", "▁a▁ b", "日本語 naïve 🙂", "<s></s>", "the lower lowest lowers", "0123456789" * 3]
 #: A worker forgets its known chunks beyond this many, and pairs beyond twice as many; chunks over 64 characters are not kept.
 KNOWN = 400_000
 
@@ -61,6 +63,18 @@ class PrefixTable:
         self.whole: dict[int, bool] = {}
         self.known = _Known(self)
         self.inner = _Inner(self)
+        self.check(model)
+
+    def check(self, model: sentencepiece.SentencePieceProcessor) -> None:
+        """Raise if the model isn't of the kind that the table stands for, in its pieces or on texts that would show it."""
+        if len(self.byte) < 256:
+            raise ValueError("the model has no piece for every byte")
+        if any(MARK in p.lstrip(MARK) for p in self.ids):
+            raise ValueError("the model has pieces with a mark behind other characters")
+        for text in PROBES:
+            if np.frombuffer(self.encode(text, False, False), "<u4").tolist() != model.encode(text):
+                raise ValueError(f"the model encodes {text!r} in another way: its normalizer, prefix or type is another one")
+        self.forget()
 
     def merged(self, text: str) -> list[str]:
         """The merge rules by definition: best score first, leftmost among equals. For short texts."""
