@@ -14,6 +14,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
@@ -103,7 +104,8 @@ def write(df: DataFrame, folder: str, key_col: str = "page_id", url_col: str = "
         raise FileExistsError(f"{folder} holds an archive already")
     rows = df.select(F.col(key_col).cast("long").alias("k"), F.col(url_col).cast("string").alias("u"), F.coalesce(F.col(payload_col).cast("string").cast("binary"), F.lit(b"")).alias("b"))
     rows = rows.withColumn("d", F.sha1("b"))
-    known = cut(rows.where(F.octet_length("b") >= min_bytes).select("k", "d"), "digests")
+    keys = cut(rows.select("k", "d", (F.octet_length("b") >= min_bytes).alias("large")), "digests")
+    known = keys.where("large").select("k", "d")
     many = cut(known.groupBy("d").agg(F.max("k").alias("o"), F.count("*").alias("n")).where("n > 1"), "shared")
     # A mark for each key of a shared payload meets its record in the range sort, instead of a join that moves payloads.
     marks = join_unique(known, many, "d", "n").select("k", "d", "o").distinct()
@@ -132,10 +134,21 @@ def write(df: DataFrame, folder: str, key_col: str = "page_id", url_col: str = "
         if roller.done:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*roller.done)], names=["file", "temporary", "records", "bytes", "sha256"])
 
-    dealt = union.repartitionByRange(places, "k").sortWithinPartitions("k", "d", "z")
+    starts = F.array(*[F.lit(k) for k in cuts(keys, places)]).cast("array<bigint>")
+    shard = F.size(F.filter(starts, lambda s: s <= F.coalesce("k", F.lit(-(1 << 63)))))
+    dealt = union.withColumn("shard", shard).repartitionById(places, "shard").drop("shard").sortWithinPartitions("k", "d", "z")
     return commit(spark, dealt.mapInArrow(work, "file string, temporary string, records long, bytes long, sha256 string"), folder)
 
 
+def cuts(keys: DataFrame, places: int, sample: int = 50_000) -> list[int]:
+    """First keys of all shards but the first: ranks of a sample that follows from the keys' hashes, so that reruns cut alike."""
+    known = keys.where("k is not null")
+    some = known.where(F.pmod(F.xxhash64("k"), F.lit(max(1, known.count() // sample))) == 0)
+    found = np.sort(some.select("k").toArrow().column("k").to_numpy())  # about ``sample`` numbers
+    at = np.arange(1, places) * len(found) // places
+    return np.unique(found[at]).tolist() if len(found) else []
+
+
 def commit(spark: SparkSession, staged: DataFrame, folder: str) -> DataFrame:
     """Move the files of the attempts that counted to their final names; the manifest comes last."""
     staged = cut(staged, "manifest")
