@@ -151,7 +151,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: d
     known, patterns = compiled(RULES if rules is None else rules, gap)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     clean = F.regexp_replace(F.translate(F.regexp_replace(text, ENDS, "$1\n"), UPPER, LOWER), OTHER, " ")
-    rows = df.select(F.col(id_col), F.transform(F.split(clean, "\n"), lambda s: F.trim(s)).alias("__p"), clean.alias("__c"))
+    rows = df.select(F.col(id_col), clean.alias("__c")).select(id_col, F.transform(F.split("__c", "\n"), lambda s: F.trim(s)).alias("__p"), "__c")
     starts = "|".join(sorted({r"[ \n]+".join(s.split(" ")[:WORDS]) for s in known}))
     some = F.concat(F.lit("\n"), F.col("__c")).rlike(rf"\n ?(?:{starts})") if known else F.lit(False)
     rows = rows.select(id_col, "__p", F.when(some, units(F.col("__p"), known)).alias("__i") if known else F.lit(None).cast("array<int>").alias("__i"))
