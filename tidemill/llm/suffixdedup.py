@@ -442,21 +442,26 @@ class Job:
                 place = place[least < block.ids[block.documents(place)]]
                 np.add.at(edges, place, 1)
                 np.add.at(edges, place + length, -1)
-        removed = np.cumsum(edges[:-1]) > 0
-        total = np.concatenate(([0], np.cumsum(removed)))
+        removed = np.cumsum(edges[:-1], dtype=np.int32) > 0
+        del edges
+        total = np.concatenate((np.zeros(1, np.int32), np.cumsum(removed, dtype=np.int32)))
         begins = removed.copy()
         begins[1:] &= ~removed[:-1]
         offsets = block.offsets
         starts = offsets[:-1][offsets[:-1] < offsets[1:]]
         begins[starts] = removed[starts]  # runs end with their document
-        spans = np.concatenate(([0], np.cumsum(begins)))
+        spans = np.concatenate((np.zeros(1, np.int32), np.cumsum(begins, dtype=np.int32)))
         raw, kept = block.data.tobytes(), ~removed
         if self.characters and len(kept):
             opens = (block.data & 0xC0) != 0x80
             opens[starts] = True  # characters end with their document
-            opens = np.flatnonzero(opens)
-            kept = np.repeat(np.logical_and.reduceat(kept, opens), np.diff(np.append(opens, len(kept))))
-        sizes, n_removed, n_spans = np.diff(offsets), total[offsets[1:]] - total[offsets[:-1]], spans[offsets[1:]] - spans[offsets[:-1]]
+            first = np.flatnonzero(opens[:-1] & ~opens[1:])  # of characters of several bytes
+            after = np.flatnonzero(~opens & np.append(opens[1:], True)) + 1
+            if len(first):
+                size = after - first
+                whole = np.logical_and.reduceat(np.append(kept, True), np.stack((first, after), axis=1).ravel())[::2]
+                kept[np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())] = np.repeat(whole, size)
+        sizes, n_removed, n_spans = np.diff(offsets), (total[offsets[1:]] - total[offsets[:-1]]).astype(np.int64), (spans[offsets[1:]] - spans[offsets[:-1]]).astype(np.int64)
         for at in range(0, len(sizes), 2000):
             to = min(len(sizes), at + 2000)
             left = [raw[a:b] if not gone_ else block.data[a:b][kept[a:b]].tobytes() for a, b, gone_ in zip(offsets[at:to].tolist(), offsets[at + 1 : to + 1].tolist(), n_removed[at:to].tolist())]
@@ -485,8 +490,8 @@ def splits(found: DataFrame, width: int, ranges: int, samples: int, count: int)
 
 
 def block_size(total: int) -> int:
-    """Bytes of a block: 8 MB, growing with the root of the input beyond 64 GB, up to 64 MB, which a task can hold."""
-    return int(min(64 << 20, (8 << 20) * max(1.0, (total / (64 << 30)) ** 0.5)))
+    """Bytes of a block: 4 MB, growing with the root of the input beyond 16 GB, up to 64 MB, which a task can hold."""
+    return int(min(64 << 20, (4 << 20) * max(1.0, (total / (16 << 30)) ** 0.5)))
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, keep: list[str] | None = None, digests: bool = False, characters: bool = False, block_bytes: int | None = None, range_strings: int = 250_000) -> DataFrame:
