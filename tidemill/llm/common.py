@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -24,7 +25,7 @@ def work_dir(spark: SparkSession, name: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = _local_base()
     base = f"{base.rstrip('/')}/tidemill-{spark.sparkContext.applicationId}"
@@ -50,18 +51,21 @@ def hadoop(spark: SparkSession, uri: str):
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings of what runs in ``freed``: shuffle files go with their execution; batches for Python are small.
+LEAN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 
 @contextlib.contextmanager
 def freed(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of what runs inside are gone with the end of each execution."""
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
+    """What runs inside leaves no shuffle files behind, and holds little memory beside the heap."""
+    before = {k: spark.conf.get(k) for k in LEAN}
+    for k, v in LEAN.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def written(df: DataFrame, path: str) -> DataFrame:
