@@ -489,12 +489,12 @@ def splits(found: DataFrame, width: int, ranges: int, samples: int, count: int)
     return picked[np.concatenate(([True], (picked[1:] != picked[:-1]).any(1)))] if len(picked) else picked
 
 
-def block_size(total: int) -> int:
-    """Bytes of a block: 4 MB, growing with the root of the input beyond 16 GB, up to 64 MB, which a task can hold."""
-    return int(min(64 << 20, (4 << 20) * max(1.0, (total / (16 << 30)) ** 0.5)))
+def block_size(total: int, base: int) -> int:
+    """Bytes of a block: ``base``, growing with the root of the input beyond 64 GB, up to eight times that."""
+    return int(base * min(8.0, max(1.0, (total / (64 << 30)) ** 0.5)))
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, keep: list[str] | None = None, digests: bool = False, characters: bool = False, block_bytes: int | None = None, range_strings: int = 250_000) -> DataFrame:
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, keep: list[str] | None = None, digests: bool = False, characters: bool = False, block_bytes: int | None = None, base: int = 8 << 20, range_strings: int = 250_000) -> DataFrame:
     """Remove each byte covered by a ``length``-byte string that also starts in a document with a smaller id.
 
     Returns (id, [``keep`` columns], n_bytes, n_removed, n_spans, kept binary), or with ``digests``
@@ -506,14 +506,15 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
 
     No size is assumed for a group: a block sends each distinct string once, however often it occurs, and
     ranges are cut so that they hold about ``range_strings`` strings. The driver gets the counts, and at most
-    ``SAMPLED`` sample strings. ``block_bytes`` follows from the input's size (see ``block_size``).
+    ``SAMPLED`` sample strings. ``block_bytes`` follows from the input's size and ``base`` (see
+    ``block_size``): larger blocks take more memory, smaller ones more time.
     """
     spark = df.sparkSession
     keep = keep or []
     kind = df.schema[id_col].dataType.simpleString()
     folder = work_dir(spark, "suffixes")
     if block_bytes is None:
-        block_bytes = block_size(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
+        block_bytes = block_size(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), base)
     blocks = write_blocks(df, id_col, text_col, keep, folder, block_bytes)
     count, size = blocks.agg(F.count("*"), F.sum("bytes")).first()
     count, least = max(1, count), int(spark.conf.get("spark.sql.shuffle.partitions"))
