@@ -1,5 +1,6 @@
 """The ten operators against brute force, on small tables with nulls, empties, ties, copies and clashing columns."""
 
+import bisect
 import hashlib
 import random
 import re
@@ -124,6 +125,33 @@ def test_suffix_dedup_keeps_columns(spark, docs, empty):
     assert suffixdedup.dedup(empty).count() == 0
 
 
+def test_suffix_dedup_deals_evenly(spark, tmp_path):
+    """No bucket of hashes and no range of strings is much larger than the others, however many there are."""
+    random_, job = np.random.default_rng(0), suffixdedup.Job(f"file://{tmp_path}", 50, 64, 0)
+    table = pa.table({"__id": pa.array([1], pa.int64()), "__text": pa.array([random_.integers(97, 123, 400_000, dtype=np.uint8).tobytes()], pa.large_binary())})
+    with pa.ipc.new_file(f"{tmp_path}/a.block", table.schema) as file:
+        file.write_table(table)
+    sizes = np.diff(job.bounds(np.sort(job.block("a").runs(job.shape)[3])))
+    assert sizes.max() < 2 * sizes.mean()
+    (tmp_path / "anchor").mkdir()
+    blocks = [random_.integers(0, 256, (20 if k % 3 == 0 else 2000, 16), dtype=np.uint8) for k in range(90)]
+    local = [job.local(str(k), "anchor", keys, np.arange(len(keys)), 10).to_pylist()[0] for k, keys in enumerate(blocks)]
+    cuts = suffixdedup.splits(spark.createDataFrame(local, "block string, count long, sample binary"), 16, 100, 10, 90)
+    keys = np.concatenate(blocks)
+    sizes = np.diff(np.concatenate(([0], suffixes.places(keys[suffixes.sort_rows(keys)], cuts), [len(keys)])))
+    assert sizes.max() < 5 * sizes.mean()
+
+
+def test_places_of_cuts():
+    random_ = np.random.default_rng(0)
+    for top in (2, 3, 256):
+        keys, cuts = (m[suffixes.sort_rows(m)] for m in (random_.integers(0, top, (300, 13), dtype=np.uint8), random_.integers(0, top, (40, 13), dtype=np.uint8)))
+        cuts = np.concatenate((cuts, keys[::50]))
+        cuts = cuts[suffixes.sort_rows(cuts)]
+        rows = [bytes(x) for x in keys]
+        assert rows == sorted(rows) and suffixes.places(keys, cuts).tolist() == [bisect.bisect_left(rows, bytes(c)) for c in cuts]
+
+
 def test_merge_of_front_coded_runs():
     random_ = np.random.default_rng(0)
     for trial in range(60):

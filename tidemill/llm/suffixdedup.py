@@ -18,7 +18,8 @@ from __future__ import annotations
 import hashlib
 import io
 import uuid
-from collections.abc import Callable, Iterator
+import zlib
+from collections.abc import Callable, Iterable, Iterator
 from functools import partial
 
 import numpy as np
@@ -113,7 +114,9 @@ class Block:
                     out += anchored(first, np.flatnonzero(stop), m[first], h, at, shape.span)
         if not out:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        return tuple(np.concatenate(x) for x in zip(*out))
+        first, last, anchor, value = (np.concatenate(x) for x in zip(*out))
+        value ^= value >> np.uint64(32)  # least hashes lie low: spread again, one to one, so that buckets are alike
+        return first, last, anchor, value * ODD[13]
 
 
 def anchored(first: np.ndarray, last: np.ndarray, value: np.ndarray, h: np.ndarray, at: int, span: int) -> list[tuple]:
@@ -201,6 +204,19 @@ def batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in columns.values()], names=list(columns))
 
 
+def batches_of(rows: Iterable[tuple], **kinds: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about a MB: both sides hold a batch whole, outside the heap."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += 64 + sum(len(v) for v in row if isinstance(v, bytes))
+        if size >= 1 << 20:
+            yield batch(**{name: (values, kind) for (name, kind), values in zip(kinds.items(), zip(*held))})
+            held, size = [], 0
+    if held:
+        yield batch(**{name: (values, kind) for (name, kind), values in zip(kinds.items(), zip(*held))})
+
+
 def pack(**arrays: np.ndarray) -> bytes:
     out = io.BytesIO()
     np.savez(out, **arrays)
@@ -257,12 +273,12 @@ class Job:
             for name in rows.column(0).to_pylist():
                 block = self.block(name)
                 first, _, _, value = block.runs(self.shape)
-                yield self.dealt(name, *self.distinct(value, block.ids[block.documents(first)])[:2])
+                yield from self.dealt(name, *self.distinct(value, block.ids[block.documents(first)])[:2])
 
-    def dealt(self, name: str, value: np.ndarray, many: np.ndarray) -> pa.RecordBatch:
+    def dealt(self, name: str, value: np.ndarray, many: np.ndarray) -> Iterator[pa.RecordBatch]:
         at = self.bounds(value)
-        full = [k for k in range(self.buckets) if at[k + 1] > at[k]]
-        return batch(part=(full, pa.int32()), block=([name] * len(full), pa.string()), hashes=([value[at[k] : at[k + 1]].tobytes() for k in full], pa.binary()), many=([np.packbits(many[at[k] : at[k + 1]]).tobytes() for k in full], pa.binary()))
+        rows = ((k, name, value[a:b].tobytes(), np.packbits(many[a:b]).tobytes()) for k, (a, b) in enumerate(zip(at, at[1:])) if b > a)
+        return batches_of(rows, part=pa.int32(), block=pa.string(), hashes=pa.binary(), many=pa.binary())
 
     def common(self, value: np.ndarray, rows: list[dict]) -> np.ndarray:
         """Which of a block's distinct hashes two documents have."""
@@ -285,24 +301,24 @@ class Job:
         flags = np.empty(len(value), bool)
         flags[order] = common[group]
         ends = np.cumsum([len(h) for h in hashes])
-        for r, end, h in zip(rows, ends, hashes):
-            flag = flags[end - len(h) : end]
-            if flag.any():
-                yield batch(block=([r["block"]], pa.string()), part=([part], pa.int32()), flags=([np.packbits(flag).tobytes()], pa.binary()))
+        out = ((r["block"], part, np.packbits(flags[end - len(h) : end]).tobytes()) for r, end, h in zip(rows, ends, hashes) if flags[end - len(h) : end].any())
+        yield from batches_of(out, block=pa.string(), part=pa.int32(), flags=pa.binary())
 
     # A sort: distinct strings of a block, then runs by range, then merges, then what each block gets back.
 
     def local(self, name: str, kind: str, keys: np.ndarray, ids: np.ndarray, samples: int, **state: np.ndarray) -> pa.RecordBatch:
         """Keep the block's distinct strings in order: for each string its group, for each group its smallest id."""
         order = suffixes.sort_rows(keys)
-        ranked = keys[order]
-        new = np.concatenate(([True], (ranked[1:] != ranked[:-1]).any(1))) if len(keys) else np.zeros(0, bool)
+        new = np.ones(len(keys), bool)
+        for at in range(1, len(keys), 20_000):
+            ranked = keys[order[at - 1 : at + 20_000]]
+            new[at : at + 20_000] = (ranked[1:] != ranked[:-1]).any(1)
         group = np.empty(len(keys), np.int32)
         group[order] = np.cumsum(new) - 1
         starts = np.flatnonzero(new)
         least = np.minimum.reduceat(ids[order], starts) if len(keys) else ids
         put_file(f"{self.folder}/{kind}/{name}", pack(group=group, least=least, one=order[starts].astype(np.int32), **state))
-        some = ranked[starts][np.linspace(0, len(starts) - 1, min(samples, len(starts))).astype(int)] if len(starts) else keys
+        some = keys[order[starts[sampled(name, len(starts), samples)]]]
         return batch(block=([name], pa.string()), count=([len(starts)], pa.int64()), sample=([some.tobytes()], pa.binary()))
 
     def send_runs(self, kind: str, width: int, cuts: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,13 +334,9 @@ class Job:
                     keys = self.anchor_keys(block, *(x[one] for x in placed(state)))
                 else:
                     keys = self.string_keys(block, state["place"][one].astype(np.int64))
-                both = np.concatenate((keys, cuts))
-                order = suffixes.sort_rows(np.concatenate((both, (np.arange(len(both)) < len(keys)).astype(np.uint8)[:, None]), axis=1))
-                at = np.flatnonzero(order >= len(keys))  # a cut goes before an equal string
-                at = np.concatenate(([0], at - np.arange(len(at)), [len(keys)]))
-                out = [(k, *suffixes.front_code(keys[a:b]), least[a:b].tobytes()) for k, (a, b) in enumerate(zip(at, at[1:])) if b > a]
-                part, heads, rests, ids = zip(*out)
-                yield batch(part=(part, pa.int32()), block=([name] * len(out), pa.string()), lengths=(heads, pa.binary()), tails=(rests, pa.binary()), ids=(ids, pa.binary()))
+                at = np.concatenate(([0], suffixes.places(keys, cuts), [len(keys)]))
+                out = ((k, name, *suffixes.front_code(keys[a:b]), least[a:b].tobytes()) for k, (a, b) in enumerate(zip(at, at[1:])) if b > a)
+                yield from batches_of(out, part=pa.int32(), block=pa.string(), lengths=pa.binary(), tails=pa.binary(), ids=pa.binary())
 
     def merge(self, width: int, part: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
         """For every string its smallest id over all blocks, and the longest prefix it shares with another string.
@@ -344,9 +356,8 @@ class Job:
         reach[0] = reach[-1] = width
         least, reach = least[order], reach[group][order].astype(np.uint8)
         ends = np.cumsum([len(r["lengths"]) for r in rows])
-        for r, end in zip(rows, ends):
-            at = end - len(r["lengths"])
-            yield batch(block=([r["block"]], pa.string()), part=([part], pa.int32()), least=([least[at:end].tobytes()], pa.binary()), reach=([reach[at:end].tobytes()], pa.binary()))
+        out = ((r["block"], part, least[at:end].tobytes(), reach[at:end].tobytes()) for r, at, end in zip(rows, [0, *ends], ends))
+        yield from batches_of(out, block=pa.string(), part=pa.int32(), least=pa.binary(), reach=pa.binary())
 
     # What blocks do with the answers.
 
@@ -400,7 +411,7 @@ class Job:
         open_ = (last >= first) & ~gone
         first, last, ids = first[open_], last[open_], ids[open_]
         put_file(f"{self.folder}/open/{name}", pack(**places(first, last)))
-        yield self.dealt(name, *self.open_hashes(block, first, last)[1:3])
+        yield from self.dealt(name, *self.open_hashes(block, first, last)[1:3])
 
     def open_hashes(self, block: Block, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
         """(place of every string of the runs, distinct hashes, whether two documents have them, which a place has)."""
@@ -442,15 +453,22 @@ class Job:
                 place = place[least < block.ids[block.documents(place)]]
                 np.add.at(edges, place, 1)
                 np.add.at(edges, place + length, -1)
-        removed = np.cumsum(edges[:-1], dtype=np.int32) > 0
-        del edges
-        total = np.concatenate((np.zeros(1, np.int32), np.cumsum(removed, dtype=np.int32)))
+        removed = np.cumsum(edges[:-1], out=edges[:-1]) > 0
+        offsets = block.offsets
+
+        def counted(marks: np.ndarray) -> np.ndarray:
+            """How many marks each document has."""
+            edges[0] = 0
+            np.cumsum(marks, out=edges[1:])
+            return (edges[offsets[1:]] - edges[offsets[:-1]]).astype(np.int64)
+
+        n_removed = counted(removed)
         begins = removed.copy()
         begins[1:] &= ~removed[:-1]
-        offsets = block.offsets
         starts = offsets[:-1][offsets[:-1] < offsets[1:]]
         begins[starts] = removed[starts]  # runs end with their document
-        spans = np.concatenate((np.zeros(1, np.int32), np.cumsum(begins, dtype=np.int32)))
+        n_spans = counted(begins)
+        del edges, begins
         raw, kept = block.data.tobytes(), ~removed
         if self.characters and len(kept):
             opens = (block.data & 0xC0) != 0x80
@@ -461,7 +479,7 @@ class Job:
                 size = after - first
                 whole = np.logical_and.reduceat(np.append(kept, True), np.stack((first, after), axis=1).ravel())[::2]
                 kept[np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())] = np.repeat(whole, size)
-        sizes, n_removed, n_spans = np.diff(offsets), (total[offsets[1:]] - total[offsets[:-1]]).astype(np.int64), (spans[offsets[1:]] - spans[offsets[:-1]]).astype(np.int64)
+        sizes = np.diff(offsets)
         for at in range(0, len(sizes), 2000):
             to = min(len(sizes), at + 2000)
             left = [raw[a:b] if not gone_ else block.data[a:b][kept[a:b]].tobytes() for a, b, gone_ in zip(offsets[at:to].tolist(), offsets[at + 1 : to + 1].tolist(), n_removed[at:to].tolist())]
@@ -475,16 +493,26 @@ class Job:
 SAMPLED = 400_000
 
 
+def sampled(name: str, count: int, samples: int) -> np.ndarray:
+    """Places of a block's samples: one at random in each of ``samples`` equal shares. Were they the same in all blocks, and
+    blocks are alike, samples would lie in bunches, and what lies between two bunches would be one range."""
+    size = min(samples, count)
+    return ((np.arange(size) + np.random.default_rng(zlib.crc32(name.encode())).random(size)) * count / max(1, size)).astype(int)
+
+
 def splits(found: DataFrame, width: int, ranges: int, samples: int, count: int) -> np.ndarray:
-    """First strings of all ranges but the first, from samples of the blocks; of some of them if there are very many blocks."""
+    """First strings of all ranges but the first, from samples of the blocks, each of which stands for its share of the
+    block's strings; of some blocks if there are very many."""
     some = found if count * samples <= SAMPLED else found.where(F.pmod(F.xxhash64("block"), F.lit(-(-count * samples // SAMPLED))) == 0)
-    rows = some.select("sample").collect()
-    some = [np.frombuffer(r[0], np.uint8).reshape(-1, width) for r in rows if r[0]]
-    if not some:
+    rows = [r for r in some.select("count", "sample").collect() if r[1]]
+    if not rows:
         return np.zeros((0, width), np.uint8)
+    some = [np.frombuffer(r[1], np.uint8).reshape(-1, width) for r in rows]
+    weight = np.concatenate([np.full(len(s), r[0] / len(s)) for r, s in zip(rows, some)])
     some = np.concatenate(some)
-    some = some[suffixes.sort_rows(some)]
-    at = np.linspace(0, len(some), ranges + 1).astype(int)[1:-1]
+    order = suffixes.sort_rows(some)
+    some, weight = some[order], np.cumsum(weight[order])
+    at = np.searchsorted(weight, weight[-1] * np.arange(1, ranges) / ranges)
     picked = some[np.minimum(at, len(some) - 1)]
     return picked[np.concatenate(([True], (picked[1:] != picked[:-1]).any(1)))] if len(picked) else picked
 

@@ -12,14 +12,17 @@ import numpy as np
 
 def sort_rows(keys: np.ndarray) -> np.ndarray:
     """Order of the rows of a byte matrix, as strings of one length."""
-    pad = -keys.shape[1] % 8
-    if pad:
-        keys = np.concatenate((keys, np.zeros((len(keys), pad), np.uint8)), axis=1)
-    words = np.ascontiguousarray(keys).view(">u8").astype(np.uint64)
-    order = np.argsort(words[:, 0], kind="stable")
-    if words.shape[1] == 1 or len(order) < 2:
+
+    def word(column: int, rows: np.ndarray | slice) -> np.ndarray:
+        some = keys[rows, column : column + 8]
+        pad = 8 - some.shape[1]
+        return np.ascontiguousarray(np.pad(some, ((0, 0), (0, pad))) if pad else some).view(">u8")[:, 0].astype(np.uint64)
+
+    first = word(0, slice(None))
+    order = np.argsort(first, kind="stable")
+    if keys.shape[1] <= 8 or len(order) < 2:
         return order
-    first = words[order, 0]
+    first = first[order]
     same = np.flatnonzero(first[1:] == first[:-1])
     if not len(same):
         return order
@@ -27,10 +30,17 @@ def sort_rows(keys: np.ndarray) -> np.ndarray:
     tied[same] = tied[same + 1] = True
     at = np.flatnonzero(tied)
     rows = order[at]
-    order[at] = rows[np.lexsort(words[rows].T[::-1])]
+    words = [word(column, rows) for column in range(8, keys.shape[1], 8)]
+    order[at] = rows[np.lexsort([*words[::-1], first[at]])]
     return order
 
 
+def places(keys: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """How many of the sorted rows come before each cut; equal ones come after."""
+    whole = f"S{keys.shape[1]}"
+    return np.searchsorted(np.ascontiguousarray(keys).view(whole)[:, 0], np.ascontiguousarray(cuts).view(whole)[:, 0])
+
+
 def shared(keys: np.ndarray) -> np.ndarray:
     """Length of the prefix that each row shares with the row before; 0 for the first."""
     out = np.zeros(len(keys), np.uint8)
