@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tidemill.llm import crosspolytope, htmltext, licenses, mixing, quality, sentencepieces, simhash, suffixdedup, suffixes, telephony, warc
+from tidemill.llm import queries as llm_queries
 from tidemill.llm.common import join_unique
 from tidemill.llm.components import components
 
@@ -504,6 +505,26 @@ def plain_feature(sound, rate, to):
     return f"rate={to};n={n};s={n / to:.3f};rms={rms:.3f};peak={max(map(abs, picked))};mean={sum(picked) / n:.3f};turns={turns}"
 
 
+def test_telephony_query_keeps_every_sample(spark, tmp_path):
+    """The query's sound has all samples of the payload and those between them."""
+    spark.createDataFrame([(k, f"Sound number {k}. " * (k + 1)) for k in range(12)] + [(99, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    used = set()
+    for r in llm_queries.op8_telephony(spark, str(tmp_path)).collect():
+        raw = b"" if r.doc_id == 99 else (f"Sound number {r.doc_id}. " * (r.doc_id + 1)).encode()
+        padded = raw + b" " * (-len(raw) % 192 or (0 if raw else 192))
+        used.add(codec := telephony.CODECS[zlib.crc32(padded) % 3])
+        assert r.feature == plain_feature(plain_sound(padded, codec), 8000, 16000)
+    assert len(used) > 1
+
+
+def test_folded_sound_comes_back():
+    random_ = np.random.default_rng(0)
+    for size in (0, 1, 2, 3, 4, 101, 1000):
+        x = random_.integers(-32768, 32768, size).astype(np.int16)
+        assert telephony.unfolded(telephony.folded(x)).tolist() == x.tolist()
+        assert not np.frombuffer(telephony.folded(telephony.resample(x, 8000, 16000)), "<i2")[size:].any()
+
+
 def test_telephony(spark, docs, empty):
     got = telephony.round_trip(docs).collect()
     assert len(got) == len(TEXTS)

@@ -45,7 +45,7 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return telephony.round_trip(table(spark, sf_dir, "documents"))
+    return telephony.round_trip(table(spark, sf_dir, "documents"), to=16000)
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -146,6 +146,29 @@ def resample(x: np.ndarray, rate: int, to: int) -> np.ndarray:
     return ((x[left].astype(np.int64) * (to - share) + x[right].astype(np.int64) * share) // to).astype(np.int16)
 
 
+def folded(x: np.ndarray) -> bytes:
+    """PCM for storage, without loss: every second sample, then the others as their distance from the middle of their neighbours.
+
+    What doubling the rate adds is a row of zeros then, which compresses to nothing.
+    """
+    even, odd = x[::2], x[1::2]
+    return np.concatenate((even, (odd - middles(even, len(odd))).astype(np.int16))).astype("<i2").tobytes()
+
+
+def unfolded(data: bytes) -> np.ndarray:
+    """The PCM that ``folded`` was given."""
+    x = np.frombuffer(data, "<i2")
+    out, even = np.empty(len(x), "<i2"), x[: (len(x) + 1) // 2]
+    out[::2] = even
+    out[1::2] = (x[len(even) :] + middles(even, len(x) // 2)).astype(np.int16)
+    return out
+
+
+def middles(even: np.ndarray, count: int) -> np.ndarray:
+    """The middle of each sample and the next one; the last one stands for itself."""
+    return (even[:count].astype(np.int32) + np.append(even[1:], even[-1:])[:count]) >> 1
+
+
 def features(x: np.ndarray, rate: int) -> str:
     """Samples, seconds, root mean square, peak, mean and sign changes of PCM, in whole numbers and thousandths."""
     n = len(x)
@@ -160,6 +183,9 @@ def features(x: np.ndarray, rate: int) -> str:
 
 CODECS = ("mulaw", "alaw", "ima")
 
+#: Level of zstd for stored media: they are written once and large.
+LEVEL = 9
+
 
 def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", codec: str | None = None, rate: int = 8000, unit: int = 192) -> DataFrame:
     """Store each text's UTF-8 as a media column, and return the table as read back.
@@ -182,7 +208,7 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", codec:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([one(t) for t in texts], pa.binary())], names=[id_col, "n_bytes", "media"])
 
     rows = df.select(F.col(id_col), F.col(text_col).cast("string").cast("binary").alias("__text"))
-    return cut(rows.mapInArrow(work, f"`{id_col}` {kind}, n_bytes long, media binary"), "media")
+    return cut(rows.mapInArrow(work, f"`{id_col}` {kind}, n_bytes long, media binary"), "media", LEVEL)
 
 
 def to_pcm(df: DataFrame, id_col: str = "doc_id", media_col: str = "media", tail: int = 16, to: int = 16000) -> DataFrame:
@@ -191,13 +217,26 @@ def to_pcm(df: DataFrame, id_col: str = "doc_id", media_col: str = "media", tail
     Returns (id, payload_bytes, payload_sha256, tail_crc32 of the last ``tail`` payload bytes, media_bytes,
     media_sha256, rate, pcm binary of little-endian 16-bit samples). A null media value gives nulls.
     """
+    stored = stored_pcm(df, id_col, media_col, tail, to)
+    schema, at = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stored.schema.fields), len(stored.columns) - 1
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in portions(batches, at):
+            sound = [None if x is None else unfolded(x).tobytes() for x in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sound, pa.binary())], names=batch.schema.names)
+
+    return stored.mapInArrow(work, schema)
+
+
+def stored_pcm(df: DataFrame, id_col: str, media_col: str, tail: int, to: int) -> DataFrame:
+    """``to_pcm`` with the samples as they are stored, ``folded``."""
     kind = df.schema[id_col].dataType.simpleString()
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.binary()]
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "rate", "pcm"]
 
     def row(media: bytes, file: tuple[str, int, int, bytes], sound: np.ndarray) -> tuple:
         data = payload(file[0], file[2], file[3])
-        return len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-tail:]), len(media), hashlib.sha256(media).hexdigest(), to, resample(sound, file[1], to).astype("<i2").tobytes()
+        return len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-tail:]), len(media), hashlib.sha256(media).hexdigest(), to, folded(resample(sound, file[1], to))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, 1):
@@ -209,17 +248,22 @@ def to_pcm(df: DataFrame, id_col: str = "doc_id", media_col: str = "media", tail
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds))], names=[id_col, *names])
 
     out = f"`{id_col}` {kind}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, rate int, pcm binary"
-    return cut(df.select(F.col(id_col), F.col(media_col)).mapInArrow(work, out), "pcm")
+    return cut(df.select(F.col(id_col), F.col(media_col)).mapInArrow(work, out), "pcm", LEVEL)
+
+
+def plain(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, "<i2")
 
 
-def describe(sounds: DataFrame, pcm_col: str = "pcm", rate_col: str = "rate") -> DataFrame:
-    """The rows of a table with stored PCM, with a feature string in place of the samples; null samples give null."""
+def describe(sounds: DataFrame, pcm_col: str = "pcm", rate_col: str = "rate", read: Callable[[bytes], np.ndarray] = plain) -> DataFrame:
+    """The rows of a table with stored PCM, with a feature string in place of the samples, which ``read`` gets from the
+    column's bytes; null samples give null."""
     names = sounds.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, names.index(pcm_col)):
             values = zip(batch.column(names.index(pcm_col)).to_pylist(), batch.column(names.index(rate_col)).to_pylist())
-            found = [None if x is None else features(np.frombuffer(x, "<i2"), rate) for x, rate in values]
+            found = [None if x is None else features(read(x), rate) for x, rate in values]
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in names if n != pcm_col] + [pa.array(found, pa.string())], names=[n for n in names if n != pcm_col] + ["feature"])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sounds.schema.fields if f.name != pcm_col)
@@ -230,5 +274,5 @@ def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", to
     """(id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature): store, expand to PCM of ``to`` Hz,
     store that, and describe what is read back. ``n_bytes`` is the unpadded length, from the text itself."""
     media = store(df, id_col, text_col)
-    sounds = to_pcm(media.select(F.struct(id_col, "n_bytes").alias("__row"), "media"), "__row", to=to)
-    return describe(sounds).select(f"__row.{id_col}", "__row.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    sounds = stored_pcm(media.select(F.struct(id_col, "n_bytes").alias("__row"), "media"), "__row", "media", 16, to)
+    return describe(sounds, read=unfolded).select(f"__row.{id_col}", "__row.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
