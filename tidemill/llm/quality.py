@@ -160,7 +160,10 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
         return Model(np.zeros(1 << options.get("bits", 18)), 0.0, options.get("bits", 18), options.get("grams", (3, 4)))
     texts = texts_of(kept, F.col("__t"))
     texts.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0]))
-    return train([r[2] or "" for r in texts], [r[1] for r in texts], **options)
+    model = train([r[2] or "" for r in texts], [r[1] for r in texts], **options)
+    del texts
+    tidy()  # the driver lives on for later stages
+    return model
 
 
 def classify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
