@@ -44,6 +44,17 @@ def test_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen[4])
 
 
+def test_stages_return_heap(spark):
+    """Every stage after the first starts with the heap that the work before it took given back."""
+    collectors = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    whole = lambda: sum(b.getCollectionCount() for b in collectors if "Old" in b.getName() or "MarkSweep" in b.getName())
+    docs = spark.createDataFrame([(1, "a few words", "en", "a", 11)], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        before = whole()
+        assert stage(spark, docs, "").count() == 1
+        assert whole() > before
+
+
 def test_registered_queries(spark):
     found = queries.queries()
     assert sorted(int(n[2:].split("_")[0]) for n in found) == list(range(1, 11))

@@ -156,6 +156,13 @@ def tidy() -> None:
         pass
 
 
+def give_back(spark: SparkSession) -> None:
+    """Executors and driver return the heap that earlier work took: a JVM keeps what it once had, and Python workers run beside it."""
+    count = max(spark.sparkContext.defaultParallelism, spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size())
+    spark.range(0, count, 1, count).selectExpr("reflect('java.lang.System', 'gc')").write.format("noop").mode("overwrite").save()
+    spark.sparkContext._jvm.System.gc()
+
+
 def byte_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(offsets of length n+1 starting at 0, bytes) of a binary or string array; nulls are empty."""
     if column.null_count:
