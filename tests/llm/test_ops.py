@@ -525,6 +525,28 @@ def test_folded_sound_comes_back():
         assert not np.frombuffer(telephony.folded(telephony.resample(x, 8000, 16000)), "<i2")[size:].any()
 
 
+def test_coded_sound_comes_back_and_is_small():
+    rng = np.random.default_rng(11)
+    few, many = rng.integers(-9, 9, 4000).astype(np.int16), rng.integers(-32768, 32768, 4000).astype(np.int16)
+    none, same = np.zeros(0, np.int16), np.full(300, -32768, np.int16)
+    for sounds in ([few, many, none, same], [none], [few], [many]):
+        assert [telephony.decoded(x).tolist() for x in telephony.coded(sounds)] == [x.tolist() for x in sounds]
+    assert len(telephony.coded([few])[0]) < 4200
+    for size in (1, 2, 3, 1000, 1001):
+        x = rng.integers(-32768, 32768, size).astype(np.int16)
+        assert telephony.restored(telephony.coded([np.frombuffer(telephony.folded(x), "<i2")])[0]).tolist() == x.tolist()
+
+
+def test_stored_pcm_is_smaller_than_its_samples(spark):
+    words = [" ".join(f"word{(k * j) % 91}" for j in range(200)) for k in range(60)]
+    media = telephony.store(spark.createDataFrame(list(enumerate(words)), "doc_id long, text string"))
+    stored = {r.doc_id: r for r in telephony.stored_pcm(media, "doc_id", "media", 16, 16000).collect()}
+    for r in telephony.to_pcm(media).collect():
+        codec, rate, block, samples = telephony.read_wave(next(m.media for m in [*media.where(f"doc_id = {r.doc_id}").collect()])) if r.doc_id < 3 else (None,) * 4
+        assert codec is None or r.pcm == telephony.resample(telephony.expanded([(codec, rate, block, samples)])[0], rate, 16000).astype("<i2").tobytes()
+        assert len(stored[r.doc_id].pcm) < 0.75 * len(r.pcm)
+
+
 def test_telephony(spark, docs, empty):
     got = telephony.round_trip(docs).collect()
     assert len(got) == len(TEXTS)

@@ -68,16 +68,16 @@ def freed(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(k, v)
 
 
-def written(df: DataFrame, path: str, level: int = 3) -> DataFrame:
-    """``df`` as written to ``path`` and read again."""
+def written(df: DataFrame, path: str, level: int = 3, page: int = 1 << 20) -> DataFrame:
+    """``df`` as written to ``path`` and read again; pages of ``page`` bytes are compressed, each by itself."""
     with freed(df.sparkSession):
-        df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
+        df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).option("parquet.page.size", page).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def cut(df: DataFrame, name: str = "cut", level: int = 3) -> DataFrame:
+def cut(df: DataFrame, name: str = "cut", level: int = 3, page: int = 1 << 20) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: ends its lineage there, survives lost executors."""
-    return written(df, work_dir(df.sparkSession, name), level)
+    return written(df, work_dir(df.sparkSession, name), level, page)
 
 
 #: Rows of one key beyond which the key's row is sent to all tasks instead of the rows to one.

@@ -155,7 +155,7 @@ def folded(x: np.ndarray) -> bytes:
     return np.concatenate((even, (odd - middles(even, len(odd))).astype(np.int16))).astype("<i2").tobytes()
 
 
-def unfolded(data: bytes) -> np.ndarray:
+def unfolded(data: bytes | np.ndarray) -> np.ndarray:
     """The PCM that ``folded`` was given."""
     x = np.frombuffer(data, "<i2")
     out, even = np.empty(len(x), "<i2"), x[: (len(x) + 1) // 2]
@@ -164,6 +164,40 @@ def unfolded(data: bytes) -> np.ndarray:
     return out
 
 
+def coded(sounds: list[np.ndarray]) -> list[bytes]:
+    """Samples for storage, without loss: the 255 commonest values of all the sounds take a byte each, others a byte and two more at the end.
+
+    Each result is the number of those values, the number of samples, the values, the bytes, and the other samples.
+    """
+    count = np.zeros(1 << 16, np.int64)
+    for x in sounds:
+        count += np.bincount(x.view("<u2"), minlength=1 << 16)
+    common = np.sort(np.argsort(-count, kind="stable")[: min(255, np.count_nonzero(count))])
+    table = np.full(1 << 16, 255, np.uint8)
+    table[common] = np.arange(len(common))
+    out = []
+    for x in sounds:
+        codes = table[x.view("<u2")]
+        out.append(struct.pack("<HI", len(common), len(x)) + common.astype("<u2").tobytes() + codes.tobytes() + x[codes == 255].tobytes())
+    return out
+
+
+def decoded(data: bytes) -> np.ndarray:
+    """The samples of one result of ``coded``."""
+    size, n = struct.unpack_from("<HI", data)
+    values = np.zeros(256, "<i2")
+    values[:size] = np.frombuffer(data, "<i2", size, 6)
+    codes = np.frombuffer(data, np.uint8, n, 6 + 2 * size)
+    out = values[codes]
+    out[codes == 255] = np.frombuffer(data, "<i2", offset=6 + 2 * size + n)
+    return out
+
+
+def restored(data: bytes) -> np.ndarray:
+    """The PCM of a stored value."""
+    return unfolded(decoded(data))
+
+
 def middles(even: np.ndarray, count: int) -> np.ndarray:
     """The middle of each sample and the next one; the last one stands for itself."""
     return (even[:count].astype(np.int32) + np.append(even[1:], even[-1:])[:count]) >> 1
@@ -183,8 +217,8 @@ def features(x: np.ndarray, rate: int) -> str:
 
 CODECS = ("mulaw", "alaw", "ima")
 
-#: Level of zstd for stored media: they are written once and large.
-LEVEL = 9
+#: Level of zstd for stored media, and bytes that are compressed together: they are written once and large.
+LEVEL, PAGE = 9, 4 << 20
 
 
 def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", codec: str | None = None, rate: int = 8000, unit: int = 192) -> DataFrame:
@@ -208,7 +242,7 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", codec:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([one(t) for t in texts], pa.binary())], names=[id_col, "n_bytes", "media"])
 
     rows = df.select(F.col(id_col), F.col(text_col).cast("string").cast("binary").alias("__text"))
-    return cut(rows.mapInArrow(work, f"`{id_col}` {kind}, n_bytes long, media binary"), "media", LEVEL)
+    return cut(rows.mapInArrow(work, f"`{id_col}` {kind}, n_bytes long, media binary"), "media", LEVEL, PAGE)
 
 
 def to_pcm(df: DataFrame, id_col: str = "doc_id", media_col: str = "media", tail: int = 16, to: int = 16000) -> DataFrame:
@@ -222,33 +256,38 @@ def to_pcm(df: DataFrame, id_col: str = "doc_id", media_col: str = "media", tail
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, at):
-            sound = [None if x is None else unfolded(x).tobytes() for x in batch.column(at).to_pylist()]
+            sound = [None if x is None else restored(x).tobytes() for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sound, pa.binary())], names=batch.schema.names)
 
     return stored.mapInArrow(work, schema)
 
 
 def stored_pcm(df: DataFrame, id_col: str, media_col: str, tail: int, to: int) -> DataFrame:
-    """``to_pcm`` with the samples as they are stored, ``folded``."""
+    """``to_pcm`` with the samples as they are stored, ``folded`` and ``coded``; rows of one codec lie together, as they are alike."""
     kind = df.schema[id_col].dataType.simpleString()
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.binary()]
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "rate", "pcm"]
 
-    def row(media: bytes, file: tuple[str, int, int, bytes], sound: np.ndarray) -> tuple:
+    def row(media: bytes, file: tuple[str, int, int, bytes], pcm: bytes) -> tuple:
         data = payload(file[0], file[2], file[3])
-        return len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-tail:]), len(media), hashlib.sha256(media).hexdigest(), to, folded(resample(sound, file[1], to))
+        return len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-tail:]), len(media), hashlib.sha256(media).hexdigest(), to, pcm
+
+    def rows(media: list[bytes], files: list[tuple[str, int, int, bytes]]) -> list[tuple]:
+        sounds = [np.frombuffer(folded(resample(x, file[1], to)), "<i2") for x, file in zip(expanded(files), files)]
+        return list(map(row, media, files, coded(sounds)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, 1):
             media = batch.column(1).to_pylist()
-            files = [read_wave(m) for m in media if m is not None]
-            rows = map(row, (m for m in media if m is not None), files, expanded(files))
-            out = [None if m is None else next(rows) for m in media]
-            columns = [[None if r is None else r[k] for r in out] for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds))], names=[id_col, *names])
+            files = [None if m is None else read_wave(m) for m in media]
+            for codec in (None, *FORMATS):
+                at = [k for k, file in enumerate(files) if (file and file[0]) == codec]
+                if at:
+                    out = rows([media[k] for k in at], [files[k] for k in at]) if codec else [(None,) * len(names)] * len(at)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *(pa.array(c, t) for c, t in zip(zip(*out), kinds))], names=[id_col, *names])
 
     out = f"`{id_col}` {kind}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, rate int, pcm binary"
-    return cut(df.select(F.col(id_col), F.col(media_col)).mapInArrow(work, out), "pcm", LEVEL)
+    return cut(df.select(F.col(id_col), F.col(media_col)).mapInArrow(work, out), "pcm", LEVEL, PAGE)
 
 
 def plain(data: bytes) -> np.ndarray:
@@ -275,4 +314,4 @@ def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", to
     store that, and describe what is read back. ``n_bytes`` is the unpadded length, from the text itself."""
     media = store(df, id_col, text_col)
     sounds = stored_pcm(media.select(F.struct(id_col, "n_bytes").alias("__row"), "media"), "__row", "media", 16, to)
-    return describe(sounds, read=unfolded).select(f"__row.{id_col}", "__row.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return describe(sounds, read=restored).select(f"__row.{id_col}", "__row.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
